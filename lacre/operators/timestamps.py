@@ -26,8 +26,8 @@ MONTHS = {
 YEARS = (1970, 2100)
 FULL_WIDTH = "".join(chr(0xFF01 + i) for i in range(94))
 ASCII = "".join(chr(0x21 + i) for i in range(94))
-BLANKS = "   -   　"
-INVISIBLE = "­​-‏⁠﻿"
+BLANKS = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+INVISIBLE = "\u00ad\u200b-\u200f\u2060\ufeff"
 
 _CLOCK = r"(\d{1,2})(?::|h)(\d{2})(?:(?::|m(?:in)?)(\d{2})s?)?(?:[.,](\d{1,12}))?(?: ?(am|pm|a\.m\.|p\.m\.)(?![a-z]))?(?:h(?:rs)?|min)?"
 _ZONE = (
