@@ -17,7 +17,7 @@ from itertools import chain, islice
 #: Fixed value: the public pattern that splits text before merging; {L}, {N}, {S} are letters, numbers, white space.
 #: Letters stand before the contractions, as no text starts with both.
 SPLIT = " ?[{L}]+| ?[{N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
-SPACE = "\\t-\\r \x85\xa0  -     　"
+SPACE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def char_class(first_letter: str, last: int) -> str:

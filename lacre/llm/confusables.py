@@ -42,7 +42,7 @@ def skeleton_function():
     import unicodedata
 
     table = _look_alikes()
-    invisible = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿\U000e0000-\U000e0fff\x00-\x08\x0e-\x1f\x7f]")
+    invisible = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff\x00-\x08\x0e-\x1f\x7f]")
     plain = re.compile(r"[\x20-\x7e]*\Z")
     blank = re.compile(r"\s+")
 

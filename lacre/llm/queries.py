@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacre.llm import components, confusables, packing, tokens
+from lacre.llm import components, confusables, history, packing, spam, tokens
 from lacre.sources.tables import table, written
 
 
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    return history.found(table(spark, base, "analyses"), table(spark, base, "batch_documents"))
+
+
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return confusables.found(*(table(spark, base, t) for t in ("spans", "evidences", "phrases")))
 
@@ -27,5 +31,11 @@ def p7_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(sizes, table(spark, base, "containers"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return spam.found(table(spark, base, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p2_found, p4_found, p6_ids, p7_containers, p8_found)
+}
 ORACLES: dict[str, str] = {}
