@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacre.llm import components, confusables, history, packing, spam, tokens
+from lacre.llm import components, confusables, history, packing, pii, spam, tokens
 from lacre.sources.tables import table, written
 
 
@@ -22,6 +22,16 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return components.found(table(spark, base, "findings"))
 
 
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return pii.found(*(table(spark, base, t) for t in ("analyses", "boxes", "name_lexicon")))
+
+
+def p5_replaced(spark: SparkSession, base: str) -> DataFrame:
+    """The texts with placeholders; the key is a parameter of the operator, this one is for the test tables."""
+    texts = pii.records(table(spark, base, "analyses"), table(spark, base, "boxes"))
+    return pii.replaced(texts, pii.lexicon(table(spark, base, "name_lexicon")), b"key of the test tables")
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.encode(table(spark, base, "documents"), tokens.vocabulary("byte_bpe_50k"))
 
@@ -36,6 +46,6 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p4_found, p6_ids, p7_containers, p8_found)
+    f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p5_replaced, p6_ids, p7_containers, p8_found)
 }
 ORACLES: dict[str, str] = {}
