@@ -18,6 +18,8 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacre.functions.once import step
+
 #: Month names by their first three letters (Portuguese, English, Spanish), accents removed.
 MONTHS = {
     "jan": 1, "ene": 1, "fev": 2, "feb": 2, "mar": 3, "abr": 4, "apr": 4, "mai": 5, "may": 5, "jun": 6, "jul": 7,
@@ -103,11 +105,6 @@ def _int(c: Column) -> Column:
     return c.try_cast("int")
 
 
-def _step(df: DataFrame, **cols: Column) -> DataFrame:
-    """withColumns behind a generator, through which filters aren't pushed: each expression is planned and run once."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
-
-
 def parse(df: DataFrame, text: str, ocr: Column, day_first: Column) -> DataFrame:
     """Adds kind ('day', 'utc', 'offset', 'zone', 'abbr' or 'wall'), y, mo, d, local_s, frac_us, off_s, zone_text, abbr.
 
@@ -121,12 +118,12 @@ def parse(df: DataFrame, text: str, ocr: Column, day_first: Column) -> DataFrame
         read = F.regexp_replace(read, f"(?<=\\d)[{letters}]|(?<![A-Za-zÀ-ú])[{letters}](?=[\\d/.-])", digit)
     t = F.when(ocr, read).otherwise(t)
     t = F.regexp_replace(t, r"(?<=\d) ?([/.]) ?(?=\d)", "$1")
-    df = _step(df, _t=t)
+    df = step(df, _t=t)
     digits = F.col("_t").rlike(r"^\d+$")
     n = F.length("_t")
     epoch = digits & n.isin(10, 13, 16)
     parts = F.split(F.regexp_replace("_t", PATTERN, "|".join(f"${i}" for i in range(1, GROUPS + 1))), r"\|", -1)
-    df = _step(df, _p=F.when(~epoch & F.col("_t").rlike(PATTERN), parts))
+    df = step(df, _p=F.when(~epoch & F.col("_t").rlike(PATTERN), parts))
     g = lambda i: F.col("_p")[i - 1]
     has = lambda i: g(i) != ""
     name = lambda c: F.substring(F.translate(F.lower(c), "çãáéíóúâêô", "caaeiouaeo"), 1, 3)
@@ -143,7 +140,7 @@ def parse(df: DataFrame, text: str, ocr: Column, day_first: Column) -> DataFrame
     second = F.coalesce(F.when(has(16), F.when(has(18), _int(g(18))).otherwise(0)).otherwise(F.when(has(22), _int(g(22))).otherwise(0)))
     frac = F.when(has(19), g(19)).when(has(23), g(23)).otherwise("")
     timed = has(16) | has(20)
-    first_read = _step(df, y=y, mo=mo, d=d, _h=hour, _m=minute, _s=second, frac_us=_int(F.rpad(F.substring(frac, 1, 6), 6, "0")))
+    first_read = step(df, y=y, mo=mo, d=d, _h=hour, _m=minute, _s=second, frac_us=_int(F.rpad(F.substring(frac, 1, 6), 6, "0")))
     df = first_read.withColumns({"_timed": timed, "_once": ~(has(16) & has(20))})
     leap = ((F.col("y") % 4 == 0) & (F.col("y") % 100 != 0)) | (F.col("y") % 400 == 0)
     last = F.when(F.col("mo") == 2, F.when(leap, 29).otherwise(28)).when(F.col("mo").isin(4, 6, 9, 11), 30).otherwise(31)
@@ -167,11 +164,11 @@ def parse(df: DataFrame, text: str, ocr: Column, day_first: Column) -> DataFrame
         .when(has(31), "abbr")
         .otherwise("wall")
     )
-    df = _step(df, kind=kind)
+    df = step(df, kind=kind)
     ok = F.col("kind").isNotNull()
     dated = ok & ~epoch
     dropped = ("_p", "_t", "_h", "_m", "_s", "_timed", "_once", "frac_us")
-    out = _step(
+    out = step(
         df.withColumnRenamed("frac_us", "_frac"),
         day=F.when(dated & (F.col("kind") == "day"), day),
         local_s=F.when(epoch, F.floor(number / F.when(n == 10, 1).when(n == 13, 1000).otherwise(1000000))).when(dated & (F.col("kind") != "day"), local),
@@ -205,7 +202,7 @@ def resolve(records: DataFrame, sites: DataFrame) -> DataFrame:
         .where("_n = 1").drop("_n")
     )
     r = r.withColumn("_own", own).join(F.broadcast(listed), "abbr", "left")  # at most two for each site
-    r = _step(
+    r = step(
         r,
         _summer=F.coalesce("_own", "_abbr_summer"),
         zone_key=F.when(F.col("kind") == "zone", F.col("zone_text"))
@@ -226,10 +223,10 @@ def resolve(records: DataFrame, sites: DataFrame) -> DataFrame:
         .when(F.col("kind") == "abbr", F.when(F.col("_summer"), F.coalesce(summer, standard + 3600)).otherwise(now_standard))
         .when(F.size(hits) == 1, hits[0]["off"])
     )
-    r = _step(r, _off=off)
+    r = step(r, _off=off)
     instant = F.when(F.col("_off").isNotNull(), canonical_instant(F.col("local_s") - F.col("_off"), F.col("frac_us")))
     day = F.date_from_unix_date(F.col("day").cast("int")).cast("string")
-    return _step(r, canon=F.when(F.col("kind") == "day", day).otherwise(instant)).where("canon is not null")
+    return step(r, canon=F.when(F.col("kind") == "day", day).otherwise(instant)).where("canon is not null")
 
 
 def found(uploads: DataFrame, dates: DataFrame, sites: DataFrame) -> DataFrame:

@@ -5,14 +5,325 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lacre.operators import timestamps
+from lacre.functions import checks
+from lacre.functions.text import folded, label
+from lacre.operators import batches, catalog, detectors, evidence, layout, similarity, temporal, timestamps
 from lacre.sources.tables import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return timestamps.found(*(table(spark, base, t) for t in ("uploads", "dates", "sites")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found}
-ORACLES: dict[str, str] = {}
+# Duplicates and similarity
+
+
+def _digests(spark: SparkSession, base: str) -> DataFrame:
+    a = table(spark, base, "analyses").withColumn("doc", F.lower("doc_id"))
+    k = F.regexp_extract(F.lower("sha256"), "([0-9a-f]{64})", 1)
+    return similarity.duplicate_groups(a, F.when(k != "", k), "pos", "doc")
+
+
+@query
+def exact_duplicate_groups(spark: SparkSession, base: str) -> DataFrame:
+    return _digests(spark, base)
+
+
+@query
+def exact_duplicate_totals(spark: SparkSession, base: str) -> DataFrame:
+    return similarity.group_totals(_digests(spark, base))
+
+
+@query
+def text_duplicate_groups(spark: SparkSession, base: str) -> DataFrame:
+    d = table(spark, base, "documents").where("trim(text) != ''")
+    return similarity.duplicate_groups(d, F.sha2("text", 256), "doc_id")
+
+
+@query
+def pair_space_reduction(spark: SparkSession, base: str) -> DataFrame:
+    b = table(spark, base, "boxes").distinct().withColumn("doc_id", F.lower("doc_id"))
+    return similarity.pair_space(b, "doc_id")
+
+
+def _fingerprints(spark: SparkSession, base: str) -> DataFrame:
+    """Sign bits of the vectors and, as near copies, the same with vec_id % 5 low bits flipped."""
+    v = table(spark, base, "embeddings").select("vec_id", similarity.sign_bits(F.col("embedding")).alias("bits"))
+    flipped = F.col("bits").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("vec_id") % 5).cast("int")) - 1)
+    return v.unionByName(v.select((F.col("vec_id") + 1_000_000).alias("vec_id"), flipped.alias("bits")))
+
+
+@query
+def fingerprint_pairs(spark: SparkSession, base: str) -> DataFrame:
+    p = similarity.hamming_pairs(_fingerprints(spark, base), "vec_id", "bits", 3)
+    v, w = (F.lpad(F.hex(c), 16, "0") for c in ("v", "w"))
+    kind = similarity.similarity_class(F.col("distance"), 64, F.lit(False))
+    return p.select(F.least(v, w).alias("a"), F.greatest(v, w).alias("b"), F.col("distance").cast("long").alias("distance"), kind.alias("class"))
+
+
+LABELS = {"nº conta": "account", "nº da fatura": "invoice", "agência/código": "customer", "carteira": "portfolio"}
+
+
+@query
+def identifier_matches(spark: SparkSession, base: str) -> DataFrame:
+    b = table(spark, base, "boxes").distinct()
+    name = F.lower(F.regexp_extract("text", r"^\s*([^:]+):\s*\d{4,}\s*$", 1))
+    kinds = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
+    obs = b.select(kinds[name].alias("kind"), F.regexp_extract("text", r":\s*(\d{4,})\s*$", 1).alias("value"), F.lower("doc_id").alias("doc_id"))
+    return similarity.identifier_matches(obs.where("kind is not null"))
+
+
+# Payment lines and amounts
+
+
+def _lines(spark: SparkSession, base: str) -> DataFrame:
+    """Lines printed in boxes, and 48-digit lines of orders whose last check digit is wrong for every seventh key."""
+    b = table(spark, base, "boxes").distinct().where("lower(text) like 'linha digit%'").select(F.concat(F.lit("box:"), "box_id").alias("line_id"), checks.digits(F.col("text")).alias("line"))
+    o = table(spark, base, "orders").select("o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("k"))
+    block = lambda c: F.concat(c, checks.modulo_10(c).cast("string"))
+    last = F.concat(F.lit("0"), "k")
+    wrong = (checks.modulo_10(last) + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)) % 10
+    line = F.concat(block(F.concat(F.lit("846"), F.substring("k", 3, 8))), block(F.concat(F.lit("1"), "k")), block(F.concat(F.lit("7"), "k")), last, wrong.cast("string"))
+    return b.unionByName(o.select(F.concat(F.lit("order:"), "o_orderkey").alias("line_id"), line.alias("line")))
+
+
+@query
+def payment_line_validation(spark: SparkSession, base: str) -> DataFrame:
+    return checks.validated_lines(_lines(spark, base), "line").select("line_id", "line", "kind", "status", "barcode")
+
+
+@query
+def payment_line_totals(spark: SparkSession, base: str) -> DataFrame:
+    return checks.validated_lines(_lines(spark, base), "line").groupBy("kind", "status").agg(F.count("*").alias("lines"))
+
+
+@query
+def collection_amounts(spark: SparkSession, base: str) -> DataFrame:
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    rest = F.concat(F.lit("836"), F.lpad(cents.cast("string"), 11, "0"), F.lpad(F.col("o_orderkey").cast("string"), 29, "0"))
+    o = table(spark, base, "orders").select("o_orderkey", rest.alias("rest"))
+    check = (checks.modulo_10(F.col("rest")) + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)) % 10
+    code = o.select("o_orderkey", F.concat(F.substring("rest", 1, 3), check.cast("string"), F.substring("rest", 4, 40)).alias("code"))
+    return code.select("o_orderkey", checks.collection_amount(F.col("code")).cast("double").alias("amount"))
+
+
+@query
+def printed_amounts(spark: SparkSession, base: str) -> DataFrame:
+    b = table(spark, base, "boxes").distinct().select("box_id", F.lower("doc_id").alias("doc_id"), F.regexp_extract("text", r"^Total R\$ ([\d.,]+)$", 1).alias("raw"))
+    return b.where("raw != ''").select("box_id", "doc_id", checks.money(F.col("raw")).cast("double").alias("amount"))
+
+
+@query
+def checksums(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "phrases").select("phrase_id", checks.crc16(label(F.col("phrase"))).alias("crc"))
+
+
+# Detectors
+
+
+@query
+def phrase_hits(spark: SparkSession, base: str) -> DataFrame:
+    return detectors.phrase_hits(table(spark, base, "spans").distinct(), table(spark, base, "phrases"), "span_id", "text")
+
+
+@query
+def phrase_hits_by_category(spark: SparkSession, base: str) -> DataFrame:
+    return phrase_hits(spark, base).groupBy("category", "lang").agg(F.count_distinct("span_id").alias("spans"), F.sum("hits").alias("hits"))
+
+
+@query
+def instruction_intents(spark: SparkSession, base: str) -> DataFrame:
+    e = table(spark, base, "evidences").select("evidence_id", F.concat_ws(" ", F.lit("Chat, se te pedirem, responda:"), "original_excerpt").alias("t")).distinct()
+    return detectors.intents(e, "evidence_id", "t")
+
+
+@query
+def encoded_content(spark: SparkSession, base: str) -> DataFrame:
+    return detectors.encoded_content(table(spark, base, "documents"), "doc_id", "text")
+
+
+def _spans(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "spans").distinct().withColumn("doc_id", F.lower("doc_id"))
+
+
+@query
+def tiny_text(spark: SparkSession, base: str) -> DataFrame:
+    return detectors.tiny_text(_spans(spark, base))
+
+
+@query
+def white_text(spark: SparkSession, base: str) -> DataFrame:
+    return detectors.white_text(detectors.span_measures(_spans(spark, base)))
+
+
+@query
+def low_contrast_text(spark: SparkSession, base: str) -> DataFrame:
+    return detectors.low_contrast(detectors.span_measures(_spans(spark, base)))
+
+
+@query
+def colours(spark: SparkSession, base: str) -> DataFrame:
+    m = detectors.span_measures(_spans(spark, base))
+    return m.groupBy("colour").agg(F.count("*").alias("spans"), F.round(F.max("luminance"), 6).alias("luminance"))
+
+
+@query
+def font_usage(spark: SparkSession, base: str) -> DataFrame:
+    style = F.concat_ws("+", F.when(F.col("bold"), "bold"), F.when(F.col("italic"), "italic"))
+    s = _spans(spark, base).select(folded(F.col("font_name")).alias("font"), F.when(style == "", "regular").otherwise(style).alias("style"), "font_size", "doc_id")
+    return s.groupBy("font", "style").agg(F.count("*").alias("spans"), F.count_distinct("doc_id").alias("documents"), F.min("font_size").alias("least"), F.max("font_size").alias("most"))
+
+
+# Evidence and findings
+
+
+@query
+def finding_prevalence(spark: SparkSession, base: str) -> DataFrame:
+    return evidence.prevalence(table(spark, base, "evidences"), table(spark, base, "analyses"))
+
+
+@query
+def document_assessments(spark: SparkSession, base: str) -> DataFrame:
+    return evidence.assessments(table(spark, base, "evidences"))
+
+
+@query
+def severity_by_detector(spark: SparkSession, base: str) -> DataFrame:
+    return evidence.severity_counts(table(spark, base, "evidences").distinct(), "detector")
+
+
+@query
+def comparative_context(spark: SparkSession, base: str) -> DataFrame:
+    return evidence.comparative_context(table(spark, base, "findings"))
+
+
+@query
+def first_evidences(spark: SparkSession, base: str) -> DataFrame:
+    return evidence.first_evidences(table(spark, base, "evidences")).select("evidence_id", "pos")
+
+
+@query
+def finding_order(spark: SparkSession, base: str) -> DataFrame:
+    return evidence.report_order(table(spark, base, "findings"))
+
+
+@query
+def finding_sizes(spark: SparkSession, base: str) -> DataFrame:
+    d = evidence.finding_documents(table(spark, base, "findings"), evidence.code())
+    return d.groupBy("finding_id", "code").agg(F.count("*").alias("documents")).groupBy("code", "documents").agg(F.count("*").alias("findings"))
+
+
+# Layout
+
+
+def _rows(spark: SparkSession, base: str) -> DataFrame:
+    return layout.segments(layout.rows(table(spark, base, "boxes")))
+
+
+@query
+def visual_rows(spark: SparkSession, base: str) -> DataFrame:
+    return _rows(spark, base).select("box_id", "row", "segment")
+
+
+@query
+def row_texts(spark: SparkSession, base: str) -> DataFrame:
+    return layout.row_texts(_rows(spark, base))
+
+
+@query
+def overlapping_boxes(spark: SparkSession, base: str) -> DataFrame:
+    return layout.overlapping(table(spark, base, "boxes"), least=0.05, grow=6)
+
+
+@query
+def page_totals(spark: SparkSession, base: str) -> DataFrame:
+    return layout.page_totals(table(spark, base, "spans"))
+
+
+# Dates
+
+
+def _dated(spark: SparkSession, base: str) -> DataFrame:
+    d = table(spark, base, "dates").distinct()
+    return d.select(F.lower("doc_id").alias("doc_id"), F.lower("source").alias("source"), F.col("date_value").alias("value"), "metadata_field")
+
+
+@query
+def date_timelines(spark: SparkSession, base: str) -> DataFrame:
+    return temporal.timelines(_dated(spark, base))
+
+
+@query
+def temporal_anomalies(spark: SparkSession, base: str) -> DataFrame:
+    return temporal.anomalies(temporal.timelines(_dated(spark, base)), F.lit("2026-01-31").cast("date"))
+
+
+@query
+def dates_in_texts(spark: SparkSession, base: str) -> DataFrame:
+    d = temporal.extracted(table(spark, base, "documents"), "doc_id", "text")
+    return d.groupBy("doc_id").agg(F.count("*").alias("dates"), F.count_distinct("value").alias("days"), F.min("value").alias("first"), F.max("value").alias("last"))
+
+
+# Batches and catalogue
+
+
+def _state(spark: SparkSession, base: str) -> DataFrame:
+    return batches.latest(table(spark, base, "batch_documents"))
+
+
+@query
+def batch_progress(spark: SparkSession, base: str) -> DataFrame:
+    return batches.progress(_state(spark, base))
+
+
+@query
+def batch_analyses(spark: SparkSession, base: str) -> DataFrame:
+    return batches.loaded(_state(spark, base), table(spark, base, "analyses"))
+
+
+@query
+def batch_missing(spark: SparkSession, base: str) -> DataFrame:
+    return batches.missing(_state(spark, base), table(spark, base, "analyses"))
+
+
+@query
+def analysis_overview(spark: SparkSession, base: str) -> DataFrame:
+    a = batches.first_analyses(table(spark, base, "analyses"))
+    return a.groupBy(F.lower("status").alias("status"), F.lower("mime_type").alias("mime_type")).agg(
+        F.count("*").alias("documents"), F.sum("size_bytes").alias("bytes"), F.sum(F.when(F.coalesce(F.length("native_text"), F.lit(0)) > 0, 1).otherwise(0)).alias("with_native_text"),
+        F.sum(F.when(F.coalesce(F.length("ocr_text"), F.lit(0)) > 0, 1).otherwise(0)).alias("with_ocr_text"),
+    )
+
+
+def _catalog(spark: SparkSession, base: str) -> DataFrame:
+    return catalog.elements(*(table(spark, base, t) for t in ("analyses", "spans", "boxes")))
+
+
+@query
+def catalog_totals(spark: SparkSession, base: str) -> DataFrame:
+    return catalog.totals(_catalog(spark, base))
+
+
+@query
+def catalog_orphans(spark: SparkSession, base: str) -> DataFrame:
+    return catalog.orphans(_catalog(spark, base)).groupBy("doc_id").agg(F.count("*").alias("elements"))
+
+
+@query
+def catalog_lookup(spark: SparkSession, base: str) -> DataFrame:
+    found = catalog.lookup(_catalog(spark, base), table(spark, base, "phrases").select(F.upper("phrase").alias("value")))
+    return found.groupBy("element_type", "subtype", F.lower(F.trim("value")).alias("value")).agg(F.count("*").alias("elements"))
+
+
+from lacre.plans.oracles import ORACLES  # noqa: E402, F401
