@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 
 def _table() -> tuple[str, str]:
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if unicodedata.decomposition(chr(c))]
-    pairs = [(a, b) for a, b in pairs if a != b]
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2000)]
+    pairs = [(a, b[0]) for a, b in pairs if len(b) > 1 and all(unicodedata.combining(m) for m in b[1:])]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 

@@ -157,7 +157,7 @@ from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3""",
     "finding_sizes": NAMED + ", k as (select finding_id, code, count(*) documents from n group by 1, 2) select code, documents, count(*) as findings from k group by 1, 2",
     "visual_rows": PLACED + "select box_id, row, segment from cut",
     "row_texts": PLACED + "select doc_id, page, row, segment, string_agg(text, ' ' order by box_left, box_id) as text, count(*) as words, round(avg(confidence), 4) as confidence from cut group by 1, 2, 3, 4",
-    "overlapping_boxes": "with b as (select distinct * replace (lower(doc_id) as doc_id, box_left - 6 as box_left, box_top - 6 as box_top, box_width + 12 as box_width, box_height + 12 as box_height) from boxes where box_width > 0 and box_height > 0), j as (select l.doc_id, l.page, l.box_id a, r.box_id b, "
+    "overlapping_boxes": "with b as (select distinct * replace (lower(doc_id) as doc_id, box_left - 14 as box_left, box_top - 14 as box_top, box_width + 28 as box_width, box_height + 28 as box_height) from boxes where box_width > 0 and box_height > 0), j as (select l.doc_id, l.page, l.box_id a, r.box_id b, "
     "greatest(least(l.box_left + l.box_width, r.box_left + r.box_width) - greatest(l.box_left, r.box_left), 0) * greatest(least(l.box_top + l.box_height, r.box_top + r.box_height) - greatest(l.box_top, r.box_top), 0) / least(l.box_width * l.box_height, r.box_width * r.box_height) o "
     "from b l join b r on l.doc_id = r.doc_id and l.page = r.page and l.box_id < r.box_id) select doc_id, page, a, b, round(o, 4) as overlap from j where o >= 0.05",
     "page_totals": "with s as (select distinct * replace (lower(doc_id) as doc_id) from spans where trim(text) <> '') select doc_id, page, count(*) as spans, sum(length(text))::bigint as characters, "
@@ -178,4 +178,29 @@ from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3""",
     "catalog_totals": CATALOG + "select element_type, subtype, layer, count(*) as elements, count(distinct doc_id) as documents, grouping(element_type, subtype, layer)::bigint as level from c group by grouping sets ((element_type), (element_type, subtype), (layer), ())",
     "catalog_orphans": CATALOG + "select doc_id, count(*) as elements from c where element_type = 'text' and subtype in ('span', 'box') and doc_id not in (select doc_id from a) group by 1",
     "catalog_lookup": CATALOG + "select element_type, subtype, lower(trim(value)) as value, count(*) as elements from c where lower(trim(value)) in (select lower(trim(upper(phrase))) from phrases) group by 1, 2, 3",
+    "phrase_places": HITS + ", s as (select distinct span_id, lower(doc_id) doc_id, page, pos from spans), j as (select * from hits join s using (span_id)) select doc_id, phrase_id, page, pos, span_id, (count(*) over (partition by doc_id, phrase_id))::bigint as spans from j "
+    "qualify row_number() over (partition by doc_id, phrase_id order by page, pos, span_id) = 1",
+    "below_neighbours": "with b as (select distinct lower(doc_id) doc_id, page, box_id, box_left l, box_top t, box_width w, box_height h from boxes where trim(text) <> ''), p as (select u.doc_id, u.page, u.box_id upper, d.box_id lower, round(d.t - (u.t + u.h) + abs(u.l - d.l) / 10, 4) score from b u join b d "
+    "on u.doc_id = d.doc_id and u.page = d.page and u.box_id <> d.box_id and d.t - (u.t + u.h) between 0 and 54 and least(u.l + u.w, d.l + d.w) - greatest(u.l, d.l) >= greatest(5.0, 0.2 * least(u.w, d.w))), "
+    "r as (select *, row_number() over (partition by doc_id, page, upper order by score, lower) a, row_number() over (partition by doc_id, page, lower order by score, upper) z from p) select doc_id, page, upper, lower, score from r where a = 1 and z = 1",
+    "excerpt_windows": f"with e as (select distinct evidence_id, string_split({folded('original_excerpt')}, ' ') w from evidences where trim(original_excerpt) <> ''), k as (select evidence_id, w, unnest(case when length(w) >= 5 then list_filter([24, 16, 12, 8, 5], lambda s: s <= length(w)) else [length(w)] end) n from e) "
+    "select evidence_id, n::bigint as words, array_to_string(w[1:n], ' ') as excerpt from k",
+    "similar_excerpts": f"with e as (select distinct lower(doc_id) doc_id, {folded('original_excerpt')} t, evidence_id from evidences where trim(original_excerpt) <> ''), r as (select doc_id, t, min(evidence_id) id from e group by 1, 2), "
+    "k as (select doc_id, id, list_distinct(list_filter(regexp_split_to_array(t, '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)) ts from r) select l.doc_id, l.id as a, r.id as b, length(list_intersect(l.ts, r.ts))::bigint as shared, "
+    "round(length(list_intersect(l.ts, r.ts)) / (length(l.ts) + length(r.ts) - length(list_intersect(l.ts, r.ts))), 4) as similarity from k l join k r on l.doc_id = r.doc_id and l.id < r.id "
+    "where length(list_intersect(l.ts, r.ts)) > 0 and length(list_intersect(l.ts, r.ts)) / (length(l.ts) + length(r.ts) - length(list_intersect(l.ts, r.ts))) >= 0.7",
+    "page_texts": "with s as (select distinct * from spans where trim(text) <> '') select lower(doc_id) as doc_id, page, string_agg(text, chr(10) order by pos, span_id) as text from s group by 1, 2",
+    "document_texts": "with s as (select distinct * from spans where trim(text) <> ''), p as (select lower(doc_id) doc_id, page, string_agg(text, chr(10) order by pos, span_id) t from s group by 1, 2), "
+    "d as (select doc_id, count(*) pages, string_agg('--- Página ' || page || ' ---' || chr(10) || t, chr(10) || chr(10) order by page) t from p group by 1) select doc_id, pages, length(t)::bigint as characters, md5(t) as digest from d",
+    "canonical_values": "with b as (select distinct * from boxes) select box_id, nullif(trim(text), '') as trimmed, lower(nullif(trim(text), '')) as folded, nullif(regexp_replace(text, '[^0-9]', '', 'g'), '') as digits, nullif(lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')), '') as compact from b",
+    "clean_cells": "with b as (select distinct * from boxes where text is not null), c as (select box_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') t from b) select box_id, case when regexp_matches(t, '^[=+\\-@]') then chr(39) || t else t end as cell from c",
+    "colour_distances": "with s as (select distinct * from spans), l as (select span_id, red * alpha + (1 - alpha) r, green * alpha + (1 - alpha) g, blue * alpha + (1 - alpha) b from s) select span_id, round(sqrt(((r - 1) * (r - 1) + (g - 1) * (g - 1) + (b - 1) * (b - 1)) / 3), 6) as distance from l",
+    "ocr_quality": "with b as (select distinct * from boxes where trim(text) <> '' and coalesce(confidence, 0) >= 0), r as (select lower(doc_id) doc_id, confidence, case when confidence <= 1 then confidence else confidence / 100 end c from b) "
+    "select doc_id, case when c >= 0.9 then 'high' when c >= 0.7 then 'medium' when c is not null then 'low' else 'unknown' end as band, count(*) as boxes, min(confidence) as least, max(confidence) as most from r group by 1, 2",
+    "export_audit": "with " + FIRST.rstrip() + ", g as (select lower(doc_id) doc_id, regexp_extract(lower(sha256), '([0-9a-f]{64})', 1) sha, pos from f), x as (select distinct lower(doc_id) doc_id from batch_documents) "
+    "select case when g.doc_id is null then 'MISSING' when g.sha = (case when pos % 10 = 0 then reverse(g.sha) else g.sha end) then 'VERIFIED' else 'HASH_MISMATCH' end as status, count(*) as rows from x left join g using (doc_id) group by 1",
+    "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as events, round(sum(value), 4) as total, max(value) as most from events group by 1, 2",
+    "event_sessions": "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end n from events), s as (select *, sum(n) over (partition by user_id order by ts range unbounded preceding) k from g) "
+    "select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as start, count(*) as events from s group by user_id, k",
+    "event_shares": "with g as (select event_type, sum(value) s, count(*) calls from events group by 1), t as (select sum(s) t from g) select event_type, round(s, 4) as total, calls, round(s / calls, 6) as average, round(s / t * 100, 2) as share from g, t",
 }

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from lacre.functions import checks
 from lacre.functions.text import folded, label
-from lacre.operators import batches, catalog, detectors, evidence, layout, similarity, temporal, timestamps
+from lacre.operators import batches, catalog, detectors, evidence, layout, locate, pages, similarity, temporal, timestamps
+from lacre.sources.exports import audited, clean_cell
 from lacre.sources.tables import table
+from lacre.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -243,7 +245,7 @@ def row_texts(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def overlapping_boxes(spark: SparkSession, base: str) -> DataFrame:
-    return layout.overlapping(table(spark, base, "boxes"), least=0.05, grow=6)
+    return layout.overlapping(table(spark, base, "boxes"), least=0.05, grow=14)
 
 
 @query
@@ -326,4 +328,98 @@ def catalog_lookup(spark: SparkSession, base: str) -> DataFrame:
     return found.groupBy("element_type", "subtype", F.lower(F.trim("value")).alias("value")).agg(F.count("*").alias("elements"))
 
 
+# Places, pages and canonical forms
+
+
+@query
+def phrase_places(spark: SparkSession, base: str) -> DataFrame:
+    return locate.phrase_places(table(spark, base, "spans").distinct(), table(spark, base, "phrases"))
+
+
+@query
+def numeric_runs(spark: SparkSession, base: str) -> DataFrame:
+    return locate.numeric_runs(batches.first_analyses(table(spark, base, "analyses")), "doc_id", "native_text")
+
+
+@query
+def below_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    return locate.below_neighbours(table(spark, base, "boxes"))
+
+
+@query
+def excerpt_windows(spark: SparkSession, base: str) -> DataFrame:
+    return locate.excerpt_windows(table(spark, base, "evidences").distinct(), "evidence_id", "original_excerpt")
+
+
+@query
+def similar_excerpts(spark: SparkSession, base: str) -> DataFrame:
+    return locate.similar_excerpts(table(spark, base, "evidences"))
+
+
+@query
+def page_texts(spark: SparkSession, base: str) -> DataFrame:
+    return pages.page_texts(table(spark, base, "spans"))
+
+
+@query
+def document_texts(spark: SparkSession, base: str) -> DataFrame:
+    return pages.document_texts(page_texts(spark, base)).select("doc_id", "pages", "characters", F.md5("text").alias("digest"))
+
+
+@query
+def canonical_values(spark: SparkSession, base: str) -> DataFrame:
+    b, t = table(spark, base, "boxes").distinct(), F.col("text")
+    return b.select("box_id", pages.canonical_trimmed(t).alias("trimmed"), pages.canonical_folded(t).alias("folded"), pages.canonical_digits(t).alias("digits"), pages.canonical_compact(t).alias("compact"))
+
+
+@query
+def clean_cells(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "boxes").distinct().where("text is not null").select("box_id", clean_cell(F.col("text")).alias("cell"))
+
+
+@query
+def colour_distances(spark: SparkSession, base: str) -> DataFrame:
+    laid = tuple(pages.composite(F.col(c), F.lit(1.0), F.col("alpha")) for c in ("red", "green", "blue"))
+    d = pages.colour_distance(laid, (F.lit(1.0), F.lit(1.0), F.lit(1.0)))
+    return table(spark, base, "spans").distinct().select("span_id", F.round(d, 6).alias("distance"))
+
+
+@query
+def ocr_quality(spark: SparkSession, base: str) -> DataFrame:
+    b = table(spark, base, "boxes").distinct().where("trim(text) != '' and coalesce(confidence, 0) >= 0")
+    ratio = F.when(F.col("confidence") <= 1, F.col("confidence")).otherwise(F.col("confidence") / 100)
+    band = F.when(ratio >= 0.9, "high").when(ratio >= 0.7, "medium").when(ratio.isNotNull(), "low").otherwise("unknown")
+    return b.groupBy(F.lower("doc_id").alias("doc_id"), band.alias("band")).agg(F.count("*").alias("boxes"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+
+
+@query
+def export_audit(spark: SparkSession, base: str) -> DataFrame:
+    """Documents of batches as exported rows against the analyses' files; every tenth digest is spoilt on purpose."""
+    sha = F.regexp_extract(F.lower("sha256"), "([0-9a-f]{64})", 1)
+    first = batches.first_analyses(table(spark, base, "analyses")).select(F.lower("doc_id").alias("doc_id"), sha.alias("sha"), "pos")
+    files = first.select("doc_id", F.when(F.col("pos") % 10 == 0, F.reverse("sha")).otherwise(F.col("sha")).alias("sha"))
+    exported = _state(spark, base).select("doc_id").distinct().join(first.select("doc_id", "sha"), "doc_id", "left")
+    return audited(exported, files).groupBy("status").agg(F.count("*").alias("rows"))
+
+
+@query
+def event_windows(spark: SparkSession, base: str) -> DataFrame:
+    w = events.tumbling(table(spark, base, "events"))
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "events", F.round("total", 4).alias("total"), "most")
+
+
+@query
+def event_sessions(spark: SparkSession, base: str) -> DataFrame:
+    w = events.sessions(table(spark, base, "events"))
+    return w.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "events")
+
+
+@query
+def event_shares(spark: SparkSession, base: str) -> DataFrame:
+    """Sum, number and share of the total by stage of processing (here: event types)."""
+    g = table(spark, base, "events").groupBy("event_type").agg(F.sum("value").alias("s"), F.count("*").alias("calls"))
+    total = g.agg(F.sum("s").alias("t"))
+    return g.crossJoin(F.broadcast(total)).select("event_type", F.round("s", 4).alias("total"), "calls", F.round(F.col("s") / F.col("calls"), 6).alias("average"), F.round(F.col("s") / F.col("t") * 100, 2).alias("share"))
+
+
 from lacre.plans.oracles import ORACLES  # noqa: E402, F401
