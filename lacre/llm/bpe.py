@@ -40,6 +40,8 @@ class Pieces(dict):
         self.encode, self.limit = encode, limit
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(piece) > 100:  # long pieces hardly come again
+            return self.encode(piece)
         if len(self) >= self.limit:
             for old in list(islice(self, self.limit // 2)):
                 del self[old]

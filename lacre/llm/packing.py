@@ -70,7 +70,7 @@ def pack(items: DataFrame, containers: DataFrame, items_per_task: int = ITEMS_PE
     tasks = max(1, -(-items.count() // items_per_task))
     c, n = F.col("capacity"), F.col("n_tokens")
     pieces = (
-        items.crossJoin(F.broadcast(kinds))  # containers: a fixed table of three kinds
+        items.select("doc_id", "n_tokens").crossJoin(F.broadcast(kinds))  # containers: a fixed table of three kinds
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / c), F.lit(1)).cast("int") - 1)))
         .withColumn("n_tokens", F.least(c, n - F.col("piece") * c))
         .withColumn("task", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(tasks)).cast("int"))
