@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lacre.operators.detectors import INSTRUCTIONS, SIGNALS
+from lacre.operators.observations import KINDS, MEMBERS, PLAIN
 
 UUID = (
     "case when regexp_full_match(regexp_replace(regexp_replace(lower(trim(x)), '^urn:uuid:', ''), '[{}\\s-]', '', 'g'), '[0-9a-f]{32}') then "
@@ -114,6 +115,13 @@ OBSERVED = (
     "w as (select kind, value, docs, unnest(list_distinct(list_transform(range(1, length(value)), lambda i: substr(value, 1, i - 1) || substr(value, i + 1, 1) || substr(value, i, 1) || substr(value, i + 2)))) other from v) "
 )
 
+LABELLED = (
+    f"with b as (select distinct * from boxes where text like '%:%'), l as (select *, trim(translate(lower(regexp_extract(text, '^\\s*([^:]{{3,40}}):', 1)), '{MEMBERS}', '{PLAIN}')) n, trim(regexp_extract(text, '^[^:]+:\\s*(.+?)\\s*$', 1)) r from b), k as (select *, case "
+    + " ".join(f"when regexp_full_match(n, '{p}') then '{k}'" for k, p in KINDS)
+    + " end kind, regexp_replace(r, '[.\\-/ ]', '', 'g') d from l), v as (select box_id, lower(doc_id) doc_id, page, coalesce(confidence, 0.0) confidence, kind, case when kind = 'holder' then case when regexp_full_match(r, '[^0-9]+ [^0-9]+') then upper(r) end "
+    "when regexp_full_match(d, '[0-9]{4,24}') then d end as value from k where kind is not null and value is not null) "
+)
+
 ORACLES: dict[str, str] = {
     "exact_duplicate_groups": DIGESTS,
     "exact_duplicate_totals": f"with g as ({DIGESTS}) select count(*) as groups, coalesce(sum(elements), 0)::bigint as elements, coalesce(sum(relations), 0)::bigint as relations, coalesce(sum((documents > 1)::int), 0)::bigint as cross_groups, coalesce(sum(cross_relations), 0)::bigint as cross_relations from g",
@@ -203,4 +211,26 @@ from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3""",
     "event_sessions": "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end n from events), s as (select *, sum(n) over (partition by user_id order by ts range unbounded preceding) k from g) "
     "select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as start, count(*) as events from s group by user_id, k",
     "event_shares": "with g as (select event_type, sum(value) s, count(*) calls from events group by 1), t as (select sum(s) t from g) select event_type, round(s, 4) as total, calls, round(s / calls, 6) as average, round(s / t * 100, 2) as share from g, t",
+    "line_barcode_matches": LINES + ", ob as (select line_id, status, case when status = 'VALID' then code end as barcode, substr(line_id, 7)::bigint k from verdict where line_id like 'order:%'), c as (select ob.*, o_custkey::varchar doc_id, k % 5 as page from ob join orders on o_orderkey = k), "
+    "p as (select *, coalesce(barcode, rpad('8' || k, 44, '0')) printed from c), b as (select doc_id, page, case when k % 11 = 0 then '89' || substr(printed, 3, 42) else printed end content from p union all select doc_id, page, '81' || substr(printed, 3, 42) from p where k % 13 = 0), "
+    "gg as (select doc_id, page, min(content) lo, max(content) hi from b group by 1, 2), r as (select case when status <> 'VALID' or lo is null or lo <> hi then 'INCONCLUSIVE' when barcode = lo then 'MATCH' else 'MISMATCH' end as result from p left join gg using (doc_id, page)) select result, count(*) as lines from r group by 1",
+    "barcode_groups": LINES + ", ob as (select substr(line_id, 7)::bigint k from verdict where line_id like 'order:%'), c as (select k, o_custkey doc_id from ob join orders on o_orderkey = k union all select k, o_custkey from ob join orders on o_orderkey = k where k % 13 = 0), "
+    "gg as (select doc_id, case when k is null then 'itf' else 'itf' end as kind, count(*) n from c group by 1, 2) select kind, count(*) as documents, sum(n)::bigint as codes, max(n * 45 - 1)::bigint as longest from gg group by 1",
+    "shared_codes": "with r as (select o_custkey d, rpad('8' || lpad(c_nationkey::varchar, 2, '0') || lpad(day(o_orderdate)::varchar, 2, '0'), 44, '7') content, (o_orderkey % 3)::varchar line from orders join customer on c_custkey = o_custkey), s as (select d, string_agg(distinct line, '|' order by line) g from r group by 1), "
+    "c as (select distinct content, d from r) select content, count(*) as documents, count(g) as with_lines, count(distinct g) as signatures, count(g) >= 2 and count(distinct g) >= 2 as divergent from c join s using (d) group by 1 having count(*) >= 2",
+    "labelled_values": LABELLED + "select box_id, doc_id, kind, value from v",
+    "best_observations": LABELLED + "select doc_id, kind, value, page, box_id from v qualify row_number() over (partition by doc_id, kind, value, page order by confidence desc, box_id) = 1",
+    "value_conflicts": LABELLED + "select doc_id, kind, count(distinct value) as distinct_values, min(value) as first_value, max(value) as last_value from v group by 1, 2 having count(distinct value) > 1",
+    "dominant_colours": "with s as (select distinct * from spans), b as (select lower(doc_id) doc_id, page, ((least(floor(red * 16), 15) * 16 + least(floor(green * 16), 15)) * 16 + least(floor(blue * 16), 15))::bigint bucket from s), n as (select doc_id, page, bucket, count(*) n from b group by 1, 2, 3), "
+    "r as (select *, sum(n) over (partition by doc_id, page) t from n qualify row_number() over (partition by doc_id, page order by n desc, bucket) = 1) select doc_id, page, bucket, round(n / t, 4) as share from r where n / t >= 0.25",
+    "line_windows": "with b as (select distinct * from boxes where lower(text) like 'linha digit%'), l as (select 'box:' || box_id as line_id, regexp_replace(text, '[^0-9]', '', 'g') as line from b), w as (select line_id, 1 place, length(line) width, line piece from l union select line_id, i, 48, substr(line, i, 48) from l, range(1, 60) t(i) "
+    "where length(line) > 48 and i <= length(line) - 47 and substr(line, i, 1) = '8' union select line_id, i, 47, substr(line, i, 47) from l, range(1, 60) t(i) where length(line) > 47 and i <= length(line) - 46) select line_id, width::bigint as width, count(*) as windows, min(piece) as first_piece, max(place)::bigint as last_place from w group by 1, 2",
+    "pdf_dates": "with d as (select distinct * from dates where raw_content like 'D:%') select date_id, case when regexp_matches(raw_content, '^D:\\d{8}') then try_cast(substr(raw_content, 3, 4) || '-' || substr(raw_content, 7, 2) || '-' || substr(raw_content, 9, 2) as date) end as day from d",
+    "ocr_spans": "select distinct box_id, lower(doc_id) as doc_id, page, 'OCR_UNKNOWN' as font_name, box_height::double as font_size, box_left, box_top, box_left + box_width as box_right, box_top + box_height as box_bottom from boxes where trim(text) <> ''",
+    "ordered_categories": "with e as (select distinct lower(doc_id) doc_id, lower(trim(category)) category, pos, evidence_id from evidences where category is not null), f as (select doc_id, category, pos, evidence_id from e qualify row_number() over (partition by doc_id, category order by pos, evidence_id) = 1) "
+    "select doc_id, count(*) as categories, string_agg(category, ',' order by pos, evidence_id) as ordered from f group by 1",
+    "combined_prevalence": MEASURED + f", e as (select upper(trim(code)) code, lower(doc_id) doc_id from (select distinct code, doc_id, confidence, evidence_id from evidences) where trim(code) <> '' union all select 'TINY_TEXT', doc_id from s where trim(text) <> '' and font_size < 4 and font_size > 0 union all "
+    f"select 'WHITE_TEXT', doc_id from m where trim(text) <> '' and red >= 245 / 255 and green >= 245 / 255 and blue >= 245 / 255 and {RATIO} < 2.0), n as (select count(distinct lower(doc_id)) total from analyses) "
+    "select code, count(distinct doc_id) as affected, count(*) as occurrences, round(count(distinct doc_id) / any_value(total) * 100, 2) as prevalence from e, n group by 1",
+    "document_order": NAMED + f", c as (select doc_id, count(*) k, min({RANK}) r from n group by 1), " + FIRST + "select lower(f.doc_id) as doc_id, coalesce(r, 6)::bigint as rank, row_number() over (partition by coalesce(r, 6) order by coalesce(k, 0) desc, lower(filename), lower(f.doc_id)) as place from f left join c on c.doc_id = lower(f.doc_id)",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lacre.functions import checks
 from lacre.functions.text import folded, label
-from lacre.operators import batches, catalog, detectors, evidence, layout, locate, pages, similarity, temporal, timestamps
+from lacre.operators import barcodes, batches, catalog, detectors, evidence, layout, locate, observations, pages, similarity, temporal, timestamps
 from lacre.sources.exports import audited, clean_cell
 from lacre.sources.tables import table
 from lacre.streaming import events
@@ -422,4 +422,117 @@ def event_shares(spark: SparkSession, base: str) -> DataFrame:
     return g.crossJoin(F.broadcast(total)).select("event_type", F.round("s", 4).alias("total"), "calls", F.round(F.col("s") / F.col("calls"), 6).alias("average"), F.round(F.col("s") / F.col("t") * 100, 2).alias("share"))
 
 
+# Bar codes and labelled values
+
+
+def _codes(spark: SparkSession, base: str) -> DataFrame:
+    """Codes of orders (document: the customer, page: key % 5): the line's own, another one for every eleventh key, and a
+    second one for every thirteenth."""
+    v = checks.validated_lines(_lines(spark, base).where("line_id like 'order:%'"), "line")
+    k = F.substring("line_id", 7, 20).cast("long")
+    v = v.select("line_id", "status", "barcode", "line", k.alias("k")).join(table(spark, base, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("doc_id")), "k")
+    return v.select("line_id", "doc_id", (F.col("k") % 5).alias("page"), "status", "barcode", "line", "k")
+
+
+def _barcodes(spark: SparkSession, base: str) -> DataFrame:
+    c = _codes(spark, base)
+    printed = F.coalesce("barcode", F.rpad(F.concat(F.lit("8"), F.col("k").cast("string")), 44, "0"))
+    own = c.select("doc_id", "page", F.col("k").alias("barcode_index"), F.lit("ITF-14").alias("format"), F.when(F.col("k") % 11 == 0, F.concat(F.lit("89"), F.substring(printed, 3, 42))).otherwise(printed).alias("content"))
+    more = c.where("k % 13 = 0").select("doc_id", "page", "k", F.lit("I_TF").alias("format"), F.concat(F.lit("81"), F.substring(printed, 3, 42)).alias("content"))
+    return own.unionByName(more.withColumnRenamed("k", "barcode_index"))
+
+
+@query
+def line_barcode_matches(spark: SparkSession, base: str) -> DataFrame:
+    return barcodes.page_matches(_codes(spark, base), _barcodes(spark, base)).groupBy("result").agg(F.count("*").alias("lines"))
+
+
+@query
+def barcode_groups(spark: SparkSession, base: str) -> DataFrame:
+    return barcodes.grouped(_barcodes(spark, base)).groupBy("kind").agg(F.count("*").alias("documents"), F.sum("codes").alias("codes"), F.max(F.length("contents")).cast("long").alias("longest"))
+
+
+@query
+def shared_codes(spark: SparkSession, base: str) -> DataFrame:
+    """Codes by nation and day of the month of the order, so documents share them."""
+    o = table(spark, base, "orders").join(table(spark, base, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    code = F.rpad(F.concat(F.lit("8"), F.lpad("c_nationkey", 2, "0"), F.lpad(F.day("o_orderdate"), 2, "0")), 44, "7")
+    rows = o.select(F.col("o_custkey").cast("string").alias("doc_id"), code.alias("content"), F.lit("itf").alias("format"), (F.col("o_orderkey") % 3).cast("string").alias("line"))
+    return barcodes.shared_codes(rows.select("doc_id", "content", "format"), rows.select("doc_id", "line"))
+
+
+@query
+def labelled_values(spark: SparkSession, base: str) -> DataFrame:
+    return observations.labelled(table(spark, base, "boxes")).select("box_id", "doc_id", "kind", "value")
+
+
+@query
+def best_observations(spark: SparkSession, base: str) -> DataFrame:
+    return observations.best(observations.labelled(table(spark, base, "boxes"))).select("doc_id", "kind", "value", "page", "box_id")
+
+
+@query
+def value_conflicts(spark: SparkSession, base: str) -> DataFrame:
+    return observations.conflicts(observations.labelled(table(spark, base, "boxes")))
+
+
+@query
+def dominant_colours(spark: SparkSession, base: str) -> DataFrame:
+    return observations.dominant_colours(table(spark, base, "spans"), least=0.25)
+
+
+@query
+def line_windows(spark: SparkSession, base: str) -> DataFrame:
+    w = observations.line_windows(_lines(spark, base).where("line_id like 'box:%'"), "line_id", "line")
+    return w.groupBy("line_id", "width").agg(F.count("*").alias("windows"), F.min("piece").alias("first_piece"), F.max("place").alias("last_place"))
+
+
+@query
+def pdf_dates(spark: SparkSession, base: str) -> DataFrame:
+    """Calendar days of PDF dates: the first eight digits after D:, null where they are no day."""
+    d = table(spark, base, "dates").distinct().where("raw_content like 'D:%'")
+    t = F.regexp_extract("raw_content", r"^D:(\d{4})(\d{2})(\d{2})", 0)
+    day = F.try_to_date(F.concat(F.substring(t, 3, 4), F.lit("-"), F.substring(t, 7, 2), F.lit("-"), F.substring(t, 9, 2)), "yyyy-MM-dd")
+    return d.select("date_id", F.when(t != "", day).alias("day"))
+
+
+@query
+def ocr_spans(spark: SparkSession, base: str) -> DataFrame:
+    """Boxes as spans: unknown font, the box's height as size, edges instead of sizes."""
+    b = table(spark, base, "boxes").distinct().where("trim(text) != ''")
+    right, bottom = F.col("box_left") + F.col("box_width"), F.col("box_top") + F.col("box_height")
+    return b.select("box_id", F.lower("doc_id").alias("doc_id"), "page", F.lit("OCR_UNKNOWN").alias("font_name"), F.col("box_height").cast("double").alias("font_size"), "box_left", "box_top", right.alias("box_right"), bottom.alias("box_bottom"))
+
+
+@query
+def ordered_categories(spark: SparkSession, base: str) -> DataFrame:
+    """Categories of each document's evidences in order of first appearance."""
+    e = table(spark, base, "evidences").distinct().where("category is not null")
+    first = e.groupBy(F.lower("doc_id").alias("doc_id"), F.lower(F.trim("category")).alias("category")).agg(F.min(F.struct("pos", "evidence_id")).alias("f"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("f", "category"))), lambda x: x["category"])
+    return first.groupBy("doc_id").agg(F.count("*").alias("categories"), F.array_join(listed, ",").alias("ordered"))
+
+
+@query
+def combined_prevalence(spark: SparkSession, base: str) -> DataFrame:
+    """Prevalence over evidences and what the concealment detectors find, as one union."""
+    m = detectors.span_measures(_spans(spark, base))
+    arm = lambda df, code: df.select(F.lit(code).alias("code"), "doc_id", "confidence", F.col("span_id").alias("evidence_id"))
+    hidden = arm(detectors.tiny_text(_spans(spark, base)), "TINY_TEXT").unionByName(arm(detectors.white_text(m), "WHITE_TEXT"))
+    e = table(spark, base, "evidences").select("code", "doc_id", "confidence", "evidence_id").distinct()
+    return evidence.prevalence(e.unionByName(hidden), table(spark, base, "analyses")).select("code", "affected", "occurrences", "prevalence")
+
+
+@query
+def document_order(spark: SparkSession, base: str) -> DataFrame:
+    """Documents by gravest finding, number of findings and file name: the place of each."""
+    from pyspark.sql import Window
+
+    c = evidence.comparative_context(table(spark, base, "findings")).select("doc_id", "findings", F.col("gravest").alias("severity"))
+    a = batches.first_analyses(table(spark, base, "analyses")).select(F.lower("doc_id").alias("doc_id"), F.lower("filename").alias("filename"))
+    j = a.join(c, "doc_id", "left").withColumn("rank", F.when(F.col("severity").isNull(), 6).otherwise(evidence.severity_rank())).withColumn("findings", F.coalesce("findings", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("rank").orderBy(F.col("findings").desc(), "filename", "doc_id"))
+    return j.select("doc_id", F.col("rank").cast("long").alias("rank"), place.cast("long").alias("place"))
+
+
 from lacre.plans.oracles import ORACLES  # noqa: E402, F401
