@@ -45,6 +45,8 @@ PATTERN = (
     r")(?:(?:t|,? | - |, ?| às | as | at | a las )" + _CLOCK + r")?" + _ZONE + r"$"  # 20-24 clock, 25-31 zone
 )
 GROUPS = 31
+#: A zone's name at the end of a text; possessive and bound to its own start, so long junk is scanned once.
+ZONE_NAME = r"(?i)(?<![a-z0-9_/+\-])([a-z_]++(?:/[a-z0-9_+\-]++)++)[\])]?\s*+$"
 
 
 def zone_intervals(zone: str, years: tuple[int, int] = YEARS) -> list[tuple[int, int, int, int]]:
@@ -211,7 +213,7 @@ def resolve(records: DataFrame, sites: DataFrame) -> DataFrame:
         local_year=F.year(F.date_from_unix_date(F.floor(F.col("local_s") / 86400).cast("int"))),
     )
     zones = sites.select(F.col("tz_name").alias("zone")).unionByName(
-        records.select(F.regexp_extract("raw", r"(?i)([a-z_]+(?:/[a-z0-9_+\-]+)+)[\])]?\s*$", 1).alias("zone")).where("zone != ''")
+        records.select(F.regexp_extract("raw", ZONE_NAME, 1).alias("zone")).where("zone != ''")
     )
     r = r.join(F.broadcast(offset_intervals(zones)), ["zone_key", "local_year"], "left")
     hits = F.filter("spans", lambda x: (x["lo"] <= F.col("local_s")) & (F.col("local_s") < x["hi"]))
