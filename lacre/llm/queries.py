@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lacre.llm import components, confusables, history, packing, pii, spam, tokens
+from lacre.plans.oracles import UUID
 from lacre.sources.tables import table, written
 
 
@@ -48,4 +49,9 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p5_replaced, p6_ids, p7_containers, p8_found)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p4_found": f"""with recursive n as (select upper(trim(code)) code, list_distinct(list_filter(list_transform(doc_ids, lambda x: {UUID}), lambda x: x is not null)) ids from findings),
+l as (select distinct code, ids[1] a, unnest(ids[2:]) b from n where length(ids) > 1), e as (select code, a, b from l union select code, b, a from l),
+r as (select distinct code, a as doc_id, a as m from e union select e.code, e.b, r.m from r join e on e.code = r.code and e.a = r.doc_id)
+select code, doc_id, min(m) as group_doc_id from r group by 1, 2""",
+}
