@@ -3,7 +3,9 @@
 Each text is cut into segments at line ends and list separators. Links, hashtags and link captions are list evidence by
 themselves; short segments without a sentence's end, amounts, dates, long digit runs or encoded tokens are phrases. The
 phrases' shingles (five words, or the whole phrase where it is shorter; digits dropped, so numbered variants agree) are
-exploded and their distinct hosts counted over the whole corpus, with partial sums before the shuffle. List density is
+exploded and their distinct hosts counted over the whole corpus, with partial sums before the shuffle. Longer segments
+count by the repetition of words in windows (keywords written as one run), as phrases divided by full stops, or, where
+their line has no sentence's end, by the hosts of their shingles. List density is
 the page's own evidence: links, tags, lines of many phrases, and segments that share their first or last two words with others. A page is
 flagged if list density and phrases replicated, on other hosts or as a whole within the page, cover most of it. Only pages whose list characters could reach the threshold are joined with the host counts.
 
@@ -31,19 +33,25 @@ SHINGLE_WORDS = 5
 DENSE = 3
 #: A line cut into so many segments is a list by itself.
 LIST_ROW = 5
+#: Longer segments are looked at in windows of so many words; in a run of keywords at most this share of a window's words
+#: differ (sentences: 0.65 and more).
+WINDOW, RUN_WORDS = 60, 0.5
+#: Words a run has at least, and the most records (amounts, dates, numbers) for each word.
+RUN_LEAST, RUN_RECORDS = 10, 0.1
 
 
 class Segments:
     """Cuts a text into segments and tells list evidence from sentences and records."""
 
     def __init__(self) -> None:
-        self.cut = re.compile(r"\s*[|·•;\n\r\t]\s*|\s+(?=#\w)|,\s+| {3,}| [-–—*~>]+ ").split
+        self.cut = re.compile(r"\s*[|·•;\n\r\t]\s*|\s+(?=#\w)|,\s+| {3,}| [-–—*~>/]+ |</a>\s*").split
         self.link = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|net|org|info|br|io)\b(?:[/?#]\S*)?", re.I)
         self.mail = re.compile(r"\S@\S")
         self.tag = re.compile(r"#\w[\w-]*\Z")
         self.record = re.compile(r"\d[.,]\d\d\b|\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}|\b\d+ ?x |\b[0-9a-f]{12,}\b|\S{25,}|\d{5,}|\b[01]{8}\b|R\$|[nN]º ?\d|\d{5}-\d{3}|@")
         self.entry = re.compile(r"\d[.,]\d\d\b|\d{1,2}[/.]\d{1,2}[/.]\d{2,4}")
         self.words = re.compile(r"[^\W\d_]+").findall
+        self.stop = re.compile(r"\w\w[.?!][”\"]?(?:\s|$)")
         self.enders = frozenset(".:”\"]?…")
 
     def phrase(self, segment: str) -> list[str] | None:
@@ -53,18 +61,40 @@ class Segments:
         words = self.words(segment.lower())
         return words if 0 < len(words) <= 9 else None
 
+    def run(self, segment: str) -> tuple[int, int]:
+        """Characters and number of keywords of a long segment that stand in windows of few distinct words."""
+        tokens = [t for t in segment.split() if len(t) < 25]  # longer ones are encoded
+        chars = listed = 0
+        cuts = list(range(0, max(1, len(tokens) - WINDOW // 2), WINDOW))
+        for a, b in zip(cuts, [*cuts[1:], len(tokens)], strict=True):
+            window = tokens[a:b]
+            words = self.words(" ".join(window).lower())
+            if len(words) >= max(RUN_LEAST, 0.7 * len(window)) and len(set(words)) <= RUN_WORDS * len(words):
+                part = " ".join(window)
+                if len(self.record.findall(part)) <= RUN_RECORDS * len(words) and len(self.stop.findall(part)) < 2:
+                    chars, listed = chars + len(part), listed + len(words) // 2
+        return min(chars, len(segment)), listed
+
     def analyse(self, text: str) -> tuple[int, int, int, Counter, dict]:
         """Characters in all, characters of links and tags, their number, phrases with their counts, phrase characters."""
         total = sure = links = 0
         phrases: Counter = Counter()
         chars: dict = {}
         heads: Counter = Counter()
+
+        def add(key: tuple, n: int) -> None:
+            if key:
+                phrases[key] += 1
+                chars[key] = chars.get(key, 0) + n
+                heads.update(((0, key[:2]), (1, key[-2:])) if len(key) > 2 else ())
+
         for line in text.splitlines():
             line = line.strip()
             if not line:
                 continue
             segments = self.pieces(line)
             row = len(segments) >= LIST_ROW
+            prose = line[-1] in self.enders or self.stop.search(line)
             for segment in segments:
                 n = len(segment)
                 total += n
@@ -77,9 +107,18 @@ class Segments:
                     if row:
                         sure, links = sure + n, links + 1
                         continue
-                    phrases[key] += 1
-                    chars[key] = chars.get(key, 0) + n
-                    heads.update(((0, key[:2]), (1, key[-2:])) if len(key) > 2 else ())
+                    add(key, n)
+                elif n > 40:
+                    parts = [x for x in segment.rstrip(".").split(". ") if x.strip()]
+                    keys = [(x, k) for x in parts if (k := self.phrase(x))] if n <= 60 * len(parts) else []
+                    if len(keys) >= max(LIST_ROW, 0.7 * len(parts)):  # keywords with full stops
+                        for x, words in keys:
+                            add(tuple(words), len(x))
+                        continue
+                    area, listed = self.run(segment)
+                    sure, links = sure + area, links + listed
+                    if not area and not prose and not self.record.search(segment):
+                        add(tuple(self.words(segment.lower())), n)
         for key in [k for k in phrases if len(k) > 2 and (heads[0, k[:2]] >= DENSE or heads[1, k[-2:]] >= DENSE)]:
             sure, links = sure + chars.pop(key), links + phrases.pop(key)
         return total, sure, links, phrases, chars

@@ -179,3 +179,19 @@ def test_stuffed_pages(spark):
     df = spark.createDataFrame([(i, t, None if i % 3 else f"h{i}", 1) for i, t in rows], "doc_id long, text string, source string, host int")
     assert {r.doc_id for r in spam.found(df).collect()} == {1, 2, 3, 4, 14}
     assert spam.found(df.where("false")).count() == 0
+
+
+def test_stuffing_in_one_long_line(spark):
+    rng = random.Random(8)
+    words = "converter vencimento editar free comprovante pdf grátis editor original boleto".split()
+    pair = ("relatório de perícia 2025", "comprovante anexado 2025", "gerar boleto")
+    places = ("Monte Alvor", "Barra Mansinha", "Lagoa Parda", "Vila Serrana", "Campo Ruivo", "Porto Aldeia")
+    once = "nota barata emitir agora sem custo scanner online leitor óptico rápido grátis já conversor total"
+    prose = "O relatório de perícia confirma o vencimento original da cobrança. A carta de cobrança confirma o vencimento original. O relatório de perícia altera a carta de cobrança. A carta de cobrança altera o relatório de perícia "
+    rows = [
+        (1, " ".join(rng.choice(words) for _ in range(120))), (2, " / ".join(rng.choice(pair) for _ in range(40))), (3, " ".join(rng.choice(pair).upper() for _ in range(40)) + " O recibo confirma o total."),
+        (4, " ".join(f'<a href="https://pdf-top{i}.example/{i}">leitor óptico</a>' for i in range(12))), (5, ". ".join(f"scanner barato em {p}" for p in places) + "."), (6, " ".join("gerarboletográtis" * 20)),
+        (7, once), (8, once), (9, once), (10, prose * 3), (11, "hex:" + "496e206974656d2031" * 60), (12, " ".join(f"{i:02}/05/2024 transfer out {i}9,74 D" for i in range(1, 28))), (13, "um aviso comprido sem marcas que aparece somente numa única página desta coleção inteira de documentos variados"),
+    ]
+    df = spark.createDataFrame([(i, t, f"h{i}") for i, t in rows], "doc_id long, text string, source string")
+    assert {r.doc_id for r in spam.found(df).collect()} == {1, 2, 3, 4, 5, 6, 7, 8, 9}
