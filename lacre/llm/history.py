@@ -8,8 +8,10 @@ if a sketch of their fingerprints (128 bits, one a lane) differs little; then th
 and last the words themselves are compared: at least three quarters of the longer text's words stand in the other in the
 same order.
 
-A bucket above BUCKET members is never expanded into pairs: its members meet its earliest ones; those left without a
-link meet the whole bucket in an equi-join that is split at run time where it is skewed, so nothing is dropped.
+A bucket above BUCKET members is not expanded into pairs at first: its members meet its HEADS earliest ones. Then each
+member meets all others of the bucket that arrived before the earliest class it is known to repeat (before itself where
+there is none), in blocks of BLOCK by BLOCK members by whole fingerprints, so nothing is dropped and no task is large;
+members that repeat one of the earliest have nothing left to meet.
 
 History grows by appending: a new batch's keys are looked up in the stored tables, and its own are added; what was
 accepted before isn't fingerprinted again (HistoryStore).
@@ -28,7 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacre.sources.tables import written
@@ -38,7 +40,7 @@ TABLES = BLOCKS * len(DISTANCES)
 #: Differing bits up to which pairs stay candidates: of 128 sketch bits (a half of them differ for every word not shared)
 #: and of 1,280 fingerprint bits (texts that share 0.6 of their words differ in about 256).
 MAX_SKETCH, MAX_BITS = 40, 330
-BUCKET, HEADS = 500, 4
+BUCKET, HEADS, BLOCK = 500, 4, 2000
 #: Shared keys up to which they are broadcast (16 bytes each); above that they are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Share of the longer text's words in the same order.
@@ -148,24 +150,52 @@ def _pairs_within(lists: DataFrame) -> DataFrame:
 
 
 def candidates(prints: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """prints(c, print, s0, s1) -> candidate pairs (a, b) of classes, and the members (key, c) of buckets above BUCKET."""
+    """prints(c, print, s0, s1) -> candidate pairs (a, b) of classes, and the members (key, n, c, first, bound) of
+    buckets above BUCKET; bound: the last arrival among the bucket's HEADS earliest, which all members are paired with."""
     size = entries(prints).groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "n")
     size = written(size, "sizes")
     shared = written(entries(prints, "s0", "s1").join(F.broadcast(size) if size.count() <= BROADCAST_KEYS else size, "key"), "shared-keys")
     small = shared.where(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list(F.struct("c", "s0", "s1")).alias("cs"))
-    big = shared.where(F.col("n") > BUCKET).select("key", "c").distinct()
-    first = big.join(classes.select("c", "first"), "c").groupBy("key", F.pmod("c", F.lit(4 * HEADS)).alias("salt")).agg(F.min(F.struct("first", "c")).alias("m"))
-    heads = first.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("m")), 1, HEADS).alias("ms")).select("key", F.explode("ms.c").alias("h"))
-    led = big.join(heads, "key").where("c != h").select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b"))
-    return _pairs_within(small).unionByName(led).distinct(), big
+    big = written(shared.where(F.col("n") > BUCKET).select("key", "n", "c").distinct().join(classes.select("c", "first"), "c"), "large")
+    order = Window.partitionBy("key").orderBy("first")
+    heads = big.select("key", "first", F.col("c").alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= HEADS)
+    heads = written(heads.select("key", "h", "first"), "heads")
+    led = big.join(heads.select("key", "h"), "key").where("c != h").select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b"))
+    return _pairs_within(small).unionByName(led).distinct(), big.join(heads.groupBy("key").agg(F.max("first").alias("bound")), "key")
+
+
+def earlier(big: DataFrame, links: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
+    """big: see candidates(); links(c, other) -> pairs (a, b): each member of a large bucket with the bucket's members,
+    heads apart, that arrived before all that it is linked to, if their fingerprints differ in MAX_BITS bits at most."""
+    salts = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine, all_of = F.pmod(F.xxhash64("c"), salts).cast("int"), F.explode(F.sequence(F.lit(0), salts - 1))
+    big = big.join(prints.select("c", words64().alias("w")), "c")
+    left = big.join(nearest(links, classes), "c", "left").withColumn("limit", F.least("first", F.coalesce("near", "first"))).where("limit > bound")
+    left = left.select("key", "c", "limit", "w", mine.alias("i"), all_of.alias("j"))
+    right = big.where("first > bound").select("key", F.col("c").alias("o"), F.col("first").alias("of"), F.col("w").alias("wo"), mine.alias("j"), all_of.alias("i"))
+    met = left.join(right, ["key", "i", "j"]).where((F.col("of") < F.col("limit")) & (differing("w", "wo") <= MAX_BITS))
+    return met.select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct()
+
+
+def nearest(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c, near): the earliest document of the classes that each class is linked to."""
+    return links.join(classes.select(F.col("c").alias("other"), "first"), "other").groupBy("c").agg(F.min("first").alias("near"))
+
+
+def words64() -> Column:
+    """The fingerprint as longs."""
+    return F.array(*(F.conv(F.hex(F.substring("print", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(LANES // 8)))
+
+
+def differing(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LANES // 8)), F.lit(0))
 
 
 def near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """Pairs whose fingerprints differ in MAX_BITS bits at most; prints(c, print)."""
-    p = prints.select("c", F.array(*(F.conv(F.hex(F.substring("print", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(LANES // 8))).alias("w"))
+    p = prints.select("c", words64().alias("w"))
     both = pairs.join(p.select(F.col("c").alias("a"), F.col("w").alias("wa")), "a").join(p.select(F.col("c").alias("b"), F.col("w").alias("wb")), "b")
-    bits = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(LANES // 8)), F.lit(0))
-    return both.where(bits <= MAX_BITS).select("a", "b")
+    return both.where(differing("wa", "wb") <= MAX_BITS).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -249,11 +279,9 @@ def found(analyses: DataFrame, batch_documents: DataFrame) -> DataFrame:
         return good.select(F.col("ca").alias("c"), F.col("cb").alias("other")).unionByName(good.select(F.col("cb").alias("c"), F.col("ca").alias("other")))
 
     links = linked(pairs)
-    rest = big.join(links.select("c").distinct(), "c", "left_anti")
-    if not rest.isEmpty():  # members of large buckets that repeat none of the earliest meet all of the bucket
-        links = links.unionByName(linked(rest.join(big.select("key", F.col("c").alias("o")), "key").where("c != o").select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct()))
-    nearest = links.join(classes.select(F.col("c").alias("other"), "first"), "other").groupBy("c").agg(F.min("first").alias("near"))
-    by_text = classes.join(nearest, "c", "left").select("c", F.least("first", F.coalesce("near", "first")).alias("by_text"))
+    if not big.isEmpty():
+        links = links.unionByName(linked(earlier(big, links, classes, prints)))
+    by_text = classes.join(nearest(links, classes), "c", "left").select("c", F.least("first", F.coalesce("near", "first")).alias("by_text"))
     by_sha = light.where("sha is not null").groupBy("sha").agg(F.min("me").alias("by_sha"), F.count("*").alias("n")).where("n > 1").drop("n")
     d = light.join(by_text, "c", "left").join(by_sha, "sha", "left")
     d = d.withColumn("before", F.least("by_text", "by_sha")).where("before.ts < ts and before.doc_id != doc_id")

@@ -173,3 +173,37 @@ def test_best_fit_respects_every_capacity():
     assert max(list(where).count(w) for w in set(where)) == 2
     where = packing.best_fit([10] * 6, 100, 50, 300)
     assert max(list(where).count(w) for w in set(where)) == 3
+
+
+def test_large_buckets_of_several_groups(spark, monkeypatch):
+    """Groups that share buckets without repeating each other: the same pairs as with no bucket counted as large."""
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(100)]
+    groups = [changed(rng, base, 0.35) for _ in range(8)]
+    texts = [" ".join(changed(rng, groups[i % 8], rng.choice((0.03, 0.06, 0.12)))) for i in range(96)]
+    ids, analyses, batches = arrived(spark, texts, rng)
+    words = [history.fold(t).split(" ") for t in texts]
+    want = {tuple(r) for r in history.found(analyses, batches).collect()}
+    assert len(want) > 60
+    assert all(history.repeats(words[ids.index(a)], words[ids.index(b)]) for a, b in want)
+    monkeypatch.setattr(history, "BUCKET", 6)
+    monkeypatch.setattr(history, "HEADS", 1)
+    monkeypatch.setattr(history, "BLOCK", 5, raising=False)
+    got = {tuple(r) for r in history.found(analyses, batches).collect()}
+    assert got == want
+
+
+def test_links_elsewhere_excuse_no_member_of_a_large_bucket(spark, monkeypatch):
+    """Four near copies meet in a large bucket, two and two also in small ones: all find the first of them."""
+    rng = random.Random(5)
+    base = [rng.choice(WORDS) for _ in range(120)]
+    texts = [" ".join(rng.choice(WORDS) for _ in range(120)) for _ in range(10)] + [" ".join(changed(rng, base, 0.02)) for _ in range(4)]
+    ids, analyses, batches = arrived(spark, texts, rng)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    c = {r.i: r.c for r in history.fingerprinted(rows, "i").collect()}
+    keys = spark.createDataFrame([(1, c[i]) for i in c] + [(2, c[10]), (2, c[13]), (3, c[11]), (3, c[12])], "key long, c long")
+    monkeypatch.setattr(history, "entries", lambda prints, *kept: prints.join(keys, "c").select("key", "c", *kept))
+    monkeypatch.setattr(history, "BUCKET", 8)
+    monkeypatch.setattr(history, "BLOCK", 3, raising=False)
+    a, *others = ids[10:]
+    assert {tuple(r) for r in history.found(analyses, batches).collect()} == {(min(a, x), max(a, x)) for x in others}
