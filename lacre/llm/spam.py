@@ -3,7 +3,8 @@
 Each text is cut into segments at line ends and list separators. Links, hashtags and link captions are list evidence by
 themselves; short segments without a sentence's end, amounts, dates, long digit runs or encoded tokens are phrases. The
 phrases' shingles (five words, or the whole phrase where it is shorter; digits dropped, so numbered variants agree) are
-exploded and their distinct hosts counted over the whole corpus, with partial sums before the shuffle. Longer segments
+exploded, those of lists included, and their distinct hosts counted over the whole corpus, with partial sums before the
+shuffle. Longer segments
 count by the repetition of words in windows (keywords written as one run), as phrases divided by full stops, or, where
 their line has no sentence's end, by the hosts of their shingles. List density is
 the page's own evidence: links, tags, lines of many phrases, and segments that share their first or last two words with others. A page is
@@ -75,12 +76,14 @@ class Segments:
                     chars, listed = chars + len(part), listed + len(words) // 2
         return min(chars, len(segment)), listed
 
-    def analyse(self, text: str) -> tuple[int, int, int, Counter, dict]:
-        """Characters in all, characters of links and tags, their number, phrases with their counts, phrase characters."""
+    def analyse(self, text: str) -> tuple[int, int, int, Counter, dict, set]:
+        """Characters in all, characters of lists that need no other evidence, their number, other phrases with their counts,
+        those phrases' characters, and the phrases of the lists, for the host counts alone."""
         total = sure = links = 0
         phrases: Counter = Counter()
         chars: dict = {}
         heads: Counter = Counter()
+        lists: set = set()
 
         def add(key: tuple, n: int) -> None:
             if key:
@@ -106,6 +109,7 @@ class Segments:
                     key = tuple(words)
                     if row:
                         sure, links = sure + n, links + 1
+                        lists.add(key)
                         continue
                     add(key, n)
                 elif n > 40:
@@ -117,11 +121,14 @@ class Segments:
                         continue
                     area, listed = self.run(segment)
                     sure, links = sure + area, links + listed
-                    if not area and not prose and not self.record.search(segment):
+                    if area:
+                        lists.add(tuple(self.words(segment.lower())))
+                    elif not prose and not self.record.search(segment):
                         add(tuple(self.words(segment.lower())), n)
         for key in [k for k in phrases if len(k) > 2 and (heads[0, k[:2]] >= DENSE or heads[1, k[-2:]] >= DENSE)]:
             sure, links = sure + chars.pop(key), links + phrases.pop(key)
-        return total, sure, links, phrases, chars
+            lists.add(key)
+        return total, sure, links, phrases, chars, lists
 
     def pieces(self, line: str) -> list[str]:
         """A line that ends as a sentence or holds an amount or a date is one piece: its marks separate no list."""
@@ -135,7 +142,8 @@ def shingles(words: tuple, n: int = SHINGLE_WORDS) -> list[str]:
 
 
 def pages(documents: DataFrame) -> DataFrame:
-    """(doc_id, host, total, sure, links, phrases): one row a document; phrases: shingle hash, characters, count."""
+    """(doc_id, host, total, sure, links, phrases): one row a document; phrases: shingle hash, characters, count (0:
+    in sure and links already, for the host counts alone)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def analysed(batches: Iterator) -> Iterator:
@@ -156,11 +164,12 @@ def pages(documents: DataFrame) -> DataFrame:
         for batch in batches:
             cols: list[list] = [[], [], [], []]
             for text in batch.column("text").to_pylist():
-                total, sure, links, phrases, chars = cutter.analyse(text)
+                total, sure, links, phrases, chars, lists = cutter.analyse(text)
                 rows = []
                 for words, n in phrases.items():
                     parts = shingles(words)
                     rows += [{"shingle": key(s), "chars": chars[words] // len(parts), "n": n} for s in parts]
+                rows += [{"shingle": h, "chars": 0, "n": 0} for h in {key(s) for words in lists for s in shingles(words)}]
                 for c, v in zip(cols, (total, sure, links, rows), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
@@ -182,7 +191,7 @@ def scores(documents: DataFrame, hosts: int = HOSTS) -> DataFrame:
     p = written(pages(documents), "spam-pages")
     spread = p.select("host", F.explode("phrases.shingle").alias("shingle")).distinct().groupBy("shingle").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= hosts)
     possible = p.where("total > 0").where(F.col("sure") + F.aggregate("phrases", F.lit(0), lambda a, x: a + x["chars"]) >= SHARE * F.col("total"))
-    seen = possible.select("doc_id", "total", "sure", "links", F.inline_outer("phrases"))
+    seen = possible.select("doc_id", "total", "sure", "links", F.inline_outer(F.filter("phrases", lambda x: x["n"] > 0)))
     seen = seen.join(spread, "shingle", "left")
     counts = F.col("hosts").isNotNull() | (F.col("n") > 1)
     return (

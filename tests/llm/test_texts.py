@@ -195,3 +195,14 @@ def test_stuffing_in_one_long_line(spark):
     ]
     df = spark.createDataFrame([(i, t, f"h{i}") for i, t in rows], "doc_id long, text string, source string")
     assert {r.doc_id for r in spam.found(df).collect()} == {1, 2, 3, 4, 5, 6, 7, 8, 9}
+
+
+def test_phrases_in_list_rows_count_for_hosts(spark):
+    """Phrases that stand on other hosts in rows of lists or with a common head only, once each on a page of their own."""
+    rows = ["gerar boleto grátis", "conversor rápido online", "nota fiscal barata", "leitor óptico novo", "assinatura digital agora"]
+    dense = [f"scanner barato em {p}" for p in ("Barra", "Lagoa", "Ribeira")]
+    texts = [" | ".join(rows)] * 3 + ["\n".join(dense)] * 3 + ["\n".join([*rows, dense[1], "texto único"])]
+    df = spark.createDataFrame([(i, t, f"h{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    p = {r.doc_id: r for r in spam.scores(df).collect()}
+    assert p[6].segments == 6 and 0.8 < p[6].list_share < 1 and p[0].list_share == 1 and p[0].segments == 5
+    assert 6 in {r.doc_id for r in spam.found(df).collect()}
