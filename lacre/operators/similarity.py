@@ -42,8 +42,10 @@ def sign_bits(vector: Column) -> Column:
 
 
 def hamming_pairs(df: DataFrame, element: str, bits: str, distance: int = 3, owner: str | None = None) -> DataFrame:
-    """(a, b, distance) of each two elements of different owners within a Hamming distance, a < b.
+    """(v, w, distance, n_v, n_w) of each two different values within a Hamming distance, v < w, that stand for elements of
+    different owners (of different elements, without an owner; a null owner is one of its own); n: elements of the value.
 
+    Whose values they are is in members(), and values that several elements share are in exact_classes().
     Pigeonhole: the 64 bits are cut into distance + 1 segments, one of which two near values share, so the join is an
     equi-join on (segment number, segment); a pair is kept at the first segment it shares only, which needs no distinct.
     Equal values are joined once for all their elements: copies of one value meet as representatives.
@@ -55,15 +57,35 @@ def hamming_pairs(df: DataFrame, element: str, bits: str, distance: int = 3, own
         width = base + (1 if i < longer else 0)
         cuts.append((at, width))
         at += width
-    values = df.groupBy(bits).agg(F.count("*").alias("n")).select(F.col(bits).alias("v"))
+    values = _values(df, element, bits, owner)
     segment = lambda c, cut: F.shiftrightunsigned(c, cut[0]).bitwiseAND((1 << cut[1]) - 1 if cut[1] < 64 else -1)
-    keyed = values.select("v", F.posexplode(F.array(*(segment(F.col("v"), c) for c in cuts))).alias("i", "s"))
-    other = keyed.select(F.col("v").alias("w"), "i", "s")
+    keyed = values.select("v", "n", "lo", "hi", "ownerless", F.posexplode(F.array(*(segment(F.col("v"), c) for c in cuts))).alias("i", "s"))
+    other = keyed.select(F.col("v").alias("w"), F.col("n").alias("n_w"), F.col("lo").alias("lo_w"), F.col("hi").alias("hi_w"), F.col("ownerless").alias("ownerless_w"), "i", "s")
+    cross = F.expr("ownerless + ownerless_w > 0 or least(lo, lo_w) != greatest(hi, hi_w)")
     near = keyed.join(other, ["i", "s"]).where((F.col("v") < F.col("w")) & (F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= distance))
     first = F.lit(True)
     for k, c in enumerate(cuts[:-1]):
         first = first & ((F.col("i") <= k) | (segment(F.col("v"), c) != segment(F.col("w"), c)))
-    return near.where(first).select("v", "w", F.bit_count(F.col("v").bitwiseXOR(F.col("w"))).alias("distance"))
+    return near.where(first & cross).select("v", "w", F.bit_count(F.col("v").bitwiseXOR(F.col("w"))).alias("distance"), F.col("n").alias("n_v"), "n_w")
+
+
+def _values(df: DataFrame, element: str, bits: str, owner: str | None) -> DataFrame:
+    """(v, n, lo, hi, ownerless): a row for each value, with its elements, the range of their owners and those without."""
+    return (
+        members(df, element, bits, owner).groupBy("v")
+        .agg(F.count_distinct("element").alias("n"), F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.sum(F.col("owner").isNull().cast("long")).alias("ownerless"))
+    )
+
+
+def members(df: DataFrame, element: str, bits: str, owner: str | None = None) -> DataFrame:
+    """(v, element, owner): which elements each value of hamming_pairs() and exact_classes() stands for."""
+    return df.where(F.col(bits).isNotNull()).select(F.col(bits).alias("v"), F.col(element).alias("element"), F.col(owner or element).alias("owner")).distinct()
+
+
+def exact_classes(df: DataFrame, element: str, bits: str, owner: str | None = None) -> DataFrame:
+    """(v, w, distance, n_v, n_w) of the values that elements of different owners share: v = w, distance 0."""
+    shared = _values(df, element, bits, owner).where("n >= 2 and (ownerless > 0 or lo != hi)")
+    return shared.select("v", F.col("v").alias("w"), F.lit(0).alias("distance"), F.col("n").alias("n_v"), F.col("n").alias("n_w"))
 
 
 def similarity_class(distance: Column, bits: int, exact: Column) -> Column:

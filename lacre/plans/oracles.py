@@ -122,6 +122,9 @@ LABELLED = (
     "when regexp_full_match(d, '[0-9]{4,24}') then d end as value from k where kind is not null and value is not null) "
 )
 
+MEMBERS = """with s as (select vec_id, list_sum(list_transform(embedding, lambda x, i: case when x > 0 then (1::hugeint << (i - 1)) else 0::hugeint end))::ubigint bits from embeddings),
+e as (select vec_id, bits from s union all select vec_id + 1000000, xor(bits, ((1::ubigint << (vec_id % 5)) - 1)::ubigint) from s)"""
+
 ORACLES: dict[str, str] = {
     "exact_duplicate_groups": DIGESTS,
     "exact_duplicate_totals": f"with g as ({DIGESTS}) select count(*) as groups, coalesce(sum(elements), 0)::bigint as elements, coalesce(sum(relations), 0)::bigint as relations, coalesce(sum((documents > 1)::int), 0)::bigint as cross_groups, coalesce(sum(cross_relations), 0)::bigint as cross_relations from g",
@@ -132,6 +135,12 @@ v as (select distinct bits from (select bits from s union all select xor(bits, (
 select lpad(upper(to_hex(l.bits)), 16, '0') as a, lpad(upper(to_hex(r.bits)), 16, '0') as b, bit_count(xor(l.bits, r.bits))::bigint as distance,
 case when 1 - bit_count(xor(l.bits, r.bits)) / 64 >= 0.98 then 'STRONG' when 1 - bit_count(xor(l.bits, r.bits)) / 64 >= 0.95 then 'MODERATE' else 'NONE' end as class
 from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3""",
+    "fingerprint_relations": MEMBERS + """, v as (select bits, count(distinct vec_id) n from e group by 1)
+select lpad(upper(to_hex(l.bits)), 16, '0') as a, lpad(upper(to_hex(r.bits)), 16, '0') as b, bit_count(xor(l.bits, r.bits))::bigint as distance,
+case when l.bits = r.bits then 'EXACT' when 1 - bit_count(xor(l.bits, r.bits)) / 64 >= 0.98 then 'STRONG' when 1 - bit_count(xor(l.bits, r.bits)) / 64 >= 0.95 then 'MODERATE' else 'NONE' end as class,
+l.n::bigint as members_a, r.n::bigint as members_b
+from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3 or l.bits = r.bits and l.n >= 2""",
+    "fingerprint_members": MEMBERS + " select distinct lpad(upper(to_hex(bits)), 16, '0') as representative, vec_id from e",
     "identifier_matches": OBSERVED + "select kind, 'EXACT' as relation, value as value_a, value as value_b, docs::bigint as documents from v where docs >= 2 union all "
     "select kind, 'ONE_DIGIT', min(value), max(value), sum(docs)::bigint from m group by kind, mask having count(*) = 2 union all "
     "select w.kind, 'TRANSPOSITION', w.value, v.value, (w.docs + v.docs)::bigint from w join v on v.kind = w.kind and v.value = w.other where w.value < v.value",

@@ -74,6 +74,24 @@ def fingerprint_pairs(spark: SparkSession, base: str) -> DataFrame:
     return p.select(F.least(v, w).alias("a"), F.greatest(v, w).alias("b"), F.col("distance").cast("long").alias("distance"), kind.alias("class"))
 
 
+@query
+def fingerprint_relations(spark: SparkSession, base: str) -> DataFrame:
+    """fingerprint_pairs with the values that several vectors share as EXACT, and how many vectors each value stands for."""
+    f = _fingerprints(spark, base)
+    p = similarity.hamming_pairs(f, "vec_id", "bits", 3).unionByName(similarity.exact_classes(f, "vec_id", "bits"))
+    v, w = (F.lpad(F.hex(c), 16, "0") for c in ("v", "w"))
+    kind = similarity.similarity_class(F.col("distance"), 64, F.col("distance") == 0)
+    n_a, n_b = F.when(v <= w, F.col("n_v")).otherwise(F.col("n_w")), F.when(v <= w, F.col("n_w")).otherwise(F.col("n_v"))
+    return p.select(F.least(v, w).alias("a"), F.greatest(v, w).alias("b"), F.col("distance").cast("long").alias("distance"), kind.alias("class"), n_a.alias("members_a"), n_b.alias("members_b"))
+
+
+@query
+def fingerprint_members(spark: SparkSession, base: str) -> DataFrame:
+    """The vectors that each value of fingerprint_pairs and fingerprint_relations stands for."""
+    m = similarity.members(_fingerprints(spark, base), "vec_id", "bits")
+    return m.select(F.lpad(F.hex("v"), 16, "0").alias("representative"), F.col("element").alias("vec_id"))
+
+
 LABELS = {"nº conta": "account", "nº da fatura": "invoice", "agência/código": "customer", "carteira": "portfolio"}
 
 

@@ -113,6 +113,15 @@ def test_hamming_pairs_against_all_pairs(spark):
     assert got == want and want
 
 
+def test_fingerprints_of_elements_and_owners(spark):
+    rows = [(1, "x", 8), (2, "y", 8), (3, "x", 9), (4, "x", 64), (5, "x", 64), (6, None, 65), (7, "z", None), (8, "z", 1 << 40), (9, "z", (1 << 40) + 1)]
+    df = spark.createDataFrame(rows, "id long, owner string, bits long")
+    pairs = lambda owner: {tuple(r) for r in similarity.hamming_pairs(df, "id", "bits", 1, owner).unionByName(similarity.exact_classes(df, "id", "bits", owner)).collect()}
+    assert pairs("owner") == {(8, 9, 1, 2, 1), (64, 65, 1, 2, 1), (8, 8, 0, 2, 2)}
+    assert pairs(None) == pairs("owner") | {(64, 64, 0, 2, 2), (1 << 40, (1 << 40) + 1, 1, 1, 1)}
+    assert {(r.v, r.element, r.owner) for r in similarity.members(df, "id", "bits", "owner").collect()} == {(v, i, o) for i, o, v in rows if v is not None}
+
+
 def test_identifier_matches(spark):
     rows = [("account", "00007812003456", "a"), ("account", "00007812003456", "b"), ("account", "00007812003465", "c"), ("invoice", "00007812003456", "d"), ("invoice", "10007812003456", "e"), ("invoice", None, "f"), (None, "1", "g")]
     got = {tuple(r) for r in similarity.identifier_matches(spark.createDataFrame(rows, "kind string, value string, doc_id string")).collect()}
