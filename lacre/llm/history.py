@@ -310,22 +310,27 @@ class HistoryStore:
         return written(fingerprinted(batch.withColumn("kept", F.col("text")), "kept").withColumnRenamed("kept", "text").where("c is not null").dropDuplicates(["c"]).select("c", "print", "text"), "batch")
 
     def check(self, mine: DataFrame) -> DataFrame:
-        """mine: see prepared() -> (c, other): the accepted classes that each class of the batch repeats.
+        """mine: see prepared() -> (c, other): the accepted classes that each class of the batch repeats, and the classes of
+        the batch itself with a lower hash (a batch has no order of arrival), so of two that repeat each other one remains.
 
         Only the batch is fingerprinted; its keys meet the stored ones in an equi-join, and texts are read for the
         candidates alone. Equal texts are the same class (c = other).
         """
         spark = mine.sparkSession
         stored = self._stored(spark)
+        own = entries(mine)
+        met = own.join(own.withColumnRenamed("c", "other"), "key").where("c > other").select("c", "other")
+        both = mine
+        if stored is not None:
+            kept = spark.read.schema("key long, c long").parquet(self.keys).withColumnRenamed("c", "other")
+            met = met.unionByName(own.join(kept, "key").where("c != other").select("c", "other"))
+            both = mine.unionByName(stored).dropDuplicates(["c"])
+        pairs = near(met.distinct().select(F.col("c").alias("a"), F.col("other").alias("b")), both.select("c", "print"))
+        good = verified(pairs, both.select(F.col("c").alias("id"), "text")).select(F.col("a").alias("c"), F.col("b").alias("other"))
         if stored is None:
-            return mine.select("c", F.col("c").alias("other")).where("false")
-        kept = spark.read.schema("key long, c long").parquet(self.keys).withColumnRenamed("c", "other")
-        met = entries(mine).join(kept, "key").where("c != other").select("c", "other").distinct()
-        both = mine.unionByName(stored)
-        pairs = near(met.select(F.col("c").alias("a"), F.col("other").alias("b")), both.select("c", "print").dropDuplicates(["c"]))
-        good = verified(pairs, both.select(F.col("c").alias("id"), "text"))
+            return good
         same = mine.join(stored.select("c"), "c", "left_semi").select("c", F.col("c").alias("other"))
-        return good.select(F.col("a").alias("c"), F.col("b").alias("other")).unionByName(same).distinct()
+        return good.unionByName(same).distinct()
 
     def append(self, mine: DataFrame) -> None:
         """Adds the classes of the batch that aren't stored yet."""

@@ -146,6 +146,27 @@ def test_history_store(spark, tmp_path):
     assert spark.read.parquet(store.classes).count() == 8 and spark.read.parquet(store.keys).count() == 8 * history.TABLES
 
 
+def test_history_store_within_a_batch(spark, tmp_path):
+    rng = random.Random(7)
+    first = [" ".join(rng.choice(WORDS) for _ in range(100)) for _ in range(3)]
+    store = history.HistoryStore(tmp_path.as_uri())
+
+    def batch(texts):
+        return history.HistoryStore.prepared(spark.createDataFrame([(t,) for t in texts], "text string"))
+
+    def repeated(texts):
+        mine = batch(texts)
+        c = {r.text: r.c for r in mine.collect()}
+        return mine, c, {tuple(r) for r in store.check(mine).collect()}
+
+    near = [" ".join(changed(rng, t.split(" "), 0.05)) for t in first[:2]]
+    one, c, got = repeated([first[0], near[0], first[2]])
+    assert got == {(max(c[first[0]], c[near[0]]), min(c[first[0]], c[near[0]]))}
+    store.append(one)
+    _, c, got = repeated([first[1], near[1], first[2]])
+    assert got == {(max(c[first[1]], c[near[1]]), min(c[first[1]], c[near[1]])), (c[first[2]], c[first[2]])}
+
+
 def test_packing(spark):
     rng = random.Random(1)
     sizes = [0, 0, 1, 100, 100, 513] + [rng.randint(1, 90) for _ in range(400)]
