@@ -153,6 +153,7 @@ from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3 or l
     "phrase_hits": HITS + "select span_id, phrase_id, category, lang, hits from hits",
     "phrase_hits_by_category": HITS + "select category, lang, count(distinct span_id) as spans, sum(hits)::bigint as hits from hits group by 1, 2",
     "instruction_intents": INTENTS,
+    "excerpt_intents": INTENTS.replace("concat_ws(' ', 'Chat, se te pedirem, responda:', original_excerpt) t", "original_excerpt t"),
     "tiny_text": f"select span_id, doc_id, page, (case when font_size / 4 <= 0.25 then 0.98 when font_size / 4 <= 0.5 then 0.92 when font_size / 4 <= 0.75 then 0.82 else 0.7 end)::double as confidence, 0.6::double as weight from {SPAN} where trim(text) <> '' and font_size < 4 and font_size > 0",
     "white_text": MEASURED + "select span_id, doc_id, page, round(0.6::double + (case when font_size <= 6.5 then 0.15 else 0.0 end)::double + (case when font_size <= 0.6 * page_size then 0.1 else 0.0 end)::double + (case when regexp_matches(lower(text), '"
     + "|".join(INSTRUCTIONS) + f"') then 0.15 else 0.0 end)::double, 4) as confidence from m where trim(text) <> '' and red >= 245 / 255 and green >= 245 / 255 and blue >= 245 / 255 and {RATIO} < 2.0",

@@ -168,6 +168,12 @@ def instruction_intents(spark: SparkSession, base: str) -> DataFrame:
     return detectors.intents(e, "evidence_id", "t")
 
 
+@query
+def excerpt_intents(spark: SparkSession, base: str) -> DataFrame:
+    """instruction_intents on the excerpts as they are: its prefix alone fulfils the rule, so it tells nothing about them."""
+    return detectors.intents(table(spark, base, "evidences").select("evidence_id", "original_excerpt").distinct(), "evidence_id", "original_excerpt")
+
+
 @query
 def encoded_content(spark: SparkSession, base: str) -> DataFrame:
     return detectors.encoded_content(table(spark, base, "documents"), "doc_id", "text")
