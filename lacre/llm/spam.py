@@ -35,7 +35,7 @@ DENSE = 3
 #: A line cut into so many segments is a list by itself.
 LIST_ROW = 5
 #: Longer segments are looked at in windows of so many words; in a run of keywords at most this share of a window's words
-#: differ (sentences: 0.65 and more).
+#: differ (sentences: mostly 0.65 and more in sf0.1; windows with two full stops are never runs).
 WINDOW, RUN_WORDS = 60, 0.5
 #: Words a run has at least, and the most records (amounts, dates, numbers) for each word.
 RUN_LEAST, RUN_RECORDS = 10, 0.1
