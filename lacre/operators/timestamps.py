@@ -3,7 +3,9 @@
 Every text is parsed by one regular expression in the JVM into calendar and clock parts; what remains open is the
 zone offset. Wall-clock times meet a table of zone-offset intervals in local time, exploded to the calendar years they
 touch, so the as-of join is an equi-join on (zone, year): two matching intervals mean the time occurs twice, none means
-it never occurs, one gives the offset.
+it never occurs, one gives the offset. The table covers all IANA zones and the years of YEARS. Before them every zone
+keeps one offset; after them the rules repeat with the calendar, so a later year is looked up as the year of LATER with
+the same length that begins on the same day of the week: any year from 1 to 9999 has its offset.
 
 Defined results: null, empty and unparsable texts, impossible dates or times, unknown zones, and wall-clock times without
 a zone or site yield no row; repeated records yield one row; texts of any length are matched as a whole (a longer text
@@ -12,10 +14,11 @@ around a date is no timestamp); extra columns are ignored.
 
 from __future__ import annotations
 
+from calendar import isleap
 from collections.abc import Iterator
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacre.functions.once import step
@@ -25,7 +28,9 @@ MONTHS = {
     "jan": 1, "ene": 1, "fev": 2, "feb": 2, "mar": 3, "abr": 4, "apr": 4, "mai": 5, "may": 5, "jun": 6, "jul": 7,
     "ago": 8, "aug": 8, "set": 9, "sep": 9, "out": 10, "oct": 10, "nov": 11, "dez": 12, "dec": 12, "dic": 12,
 }
-YEARS = (1970, 2100)
+#: First and last year of the interval table, and the years in it that stand for all later ones: a whole cycle of the
+#: calendar (28 years without a skipped leap year), past the last transition that is listed singly.
+YEARS, LATER = (1850, 2128), (2101, 2128)
 FULL_WIDTH = "".join(chr(0xFF01 + i) for i in range(94))
 ASCII = "".join(chr(0x21 + i) for i in range(94))
 BLANKS = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
@@ -45,12 +50,14 @@ PATTERN = (
     r")(?:(?:t|,? | - |, ?| às | as | at | a las )" + _CLOCK + r")?" + _ZONE + r"$"  # 20-24 clock, 25-31 zone
 )
 GROUPS = 31
-#: A zone's name at the end of a text; possessive and bound to its own start, so long junk is scanned once.
-ZONE_NAME = r"(?i)(?<![a-z0-9_/+\-])([a-z_]++(?:/[a-z0-9_+\-]++)++)[\])]?\s*+$"
 
 
 def zone_intervals(zone: str, years: tuple[int, int] = YEARS) -> list[tuple[int, int, int, int]]:
-    """(utc_from, utc_to, offset, dst) in seconds for one IANA zone; an unknown zone has no intervals."""
+    """(utc_from, utc_to, offset, dst) in seconds for one IANA zone; an unknown zone has no intervals.
+
+    Listed transitions are read from the zone's compiled file; where a rule goes on after the last of them, changes are
+    looked for week by week and their second by bisection.
+    """
     import zoneinfo
 
     try:
@@ -62,29 +69,59 @@ def zone_intervals(zone: str, years: tuple[int, int] = YEARS) -> list[tuple[int,
         local = datetime.fromtimestamp(t, tz)
         return int(local.utcoffset().total_seconds()), int((local.dst() or timedelta()).total_seconds())
 
-    begin = int(datetime(years[0], 1, 1, tzinfo=UTC).timestamp())
-    end = int(datetime(years[1] + 1, 1, 1, tzinfo=UTC).timestamp())
-    cuts, now, t = [(begin, *at(begin))], at(begin), begin
-    while t < end:
+    begin = int(datetime(years[0], 1, 1, tzinfo=UTC).timestamp()) - 2 * 86400  # local years begin earlier or later
+    end = int(datetime(years[1] + 1, 1, 1, tzinfo=UTC).timestamp()) + 2 * 86400
+    listed, ruled = _transitions(zone)
+    cuts = [(begin, *at(begin))]
+    for t in listed:
+        if begin < t < end and (now := at(t)) != cuts[-1][1:]:
+            cuts.append((t, *now))
+    t = max([begin, *(x for x in listed if x < end)])
+    while ruled and t < end:
         step = min(t + 7 * 86400, end)
-        if (then := at(step)) != now:
+        now = cuts[-1][1:]
+        if at(step) != now:
             low, high = t, step
             while high - low > 1:
                 middle = (low + high) // 2
                 low, high = (middle, high) if at(middle) == now else (low, middle)
-            now = at(high)
-            cuts.append((high, *now))
+            cuts.append((high, *at(high)))
             t = high
         else:
             t = step
     return [(a[0], b[0], a[1], a[2]) for a, b in zip(cuts, [*cuts[1:], (end, 0, 0)], strict=True)]
 
 
-def offset_intervals(zones: DataFrame) -> DataFrame:
-    """zones(zone) -> one row for each (zone_key, local_year) with the array of offset intervals that touch the year.
+def _transitions(zone: str) -> tuple[list[int], bool]:
+    """Seconds of a zone's listed transitions (version 2 of the TZif format, RFC 8536), and whether a rule with summer
+    time goes on after them. Without a readable file: no list, and a rule, so all years are searched."""
+    import struct
+    import zoneinfo
+    from pathlib import Path
+
+    for folder in zoneinfo.TZPATH:
+        try:
+            raw = Path(folder, zone).read_bytes()
+        except OSError:
+            continue
+        if raw[:4] != b"TZif" or raw[4:5] < b"2":
+            break
+        utc, std, leaps, times, types, chars = struct.unpack(">6l", raw[20:44])
+        second = 44 + times * 5 + types * 6 + chars + leaps * 8 + std + utc
+        utc, std, leaps, times, types, chars = struct.unpack(">6l", raw[second + 20 : second + 44])
+        body = second + 44
+        footer = raw[body + times * 9 + types * 6 + chars + leaps * 12 + std + utc :]
+        return list(struct.unpack(f">{times}q", raw[body : body + 8 * times])), b"," in footer
+    return [], True
+
 
-    Bounded: the IANA list has some 600 names, YEARS 131 years, so never above 80,000 small rows whatever the data.
+def offset_intervals(spark: SparkSession) -> DataFrame:
+    """One row for each (zone_key, local_year) with the array of offset intervals that touch the year.
+
+    Bounded: the IANA list has some 600 names, YEARS 279 years: under 180,000 small rows, whatever the data. The names
+    are dealt over tasks.
     """
+    import zoneinfo
 
     def spans(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -93,16 +130,26 @@ def offset_intervals(zones: DataFrame) -> DataFrame:
             rows = [(z.lower(), a + o, b + o, o, d) for z in batch["zone"] for a, b, o, d in zone_intervals(z)]
             yield pd.DataFrame(rows, columns=["zone_key", "lo", "hi", "off", "dst"])
 
-    year = lambda c: F.year(F.date_from_unix_date(F.floor(F.col(c) / 86400).cast("int")))
+    year = lambda c: F.year(F.date_from_unix_date(F.floor((F.col(c) if isinstance(c, str) else c) / 86400).cast("int")))
+    names = spark.createDataFrame([(z,) for z in sorted(zoneinfo.available_timezones())], "zone string")
     return (
-        zones.where(F.col("zone").isNotNull()).distinct().coalesce(1)
+        names.repartition(8, "zone")
         .mapInPandas(spans, "zone_key string, lo long, hi long, off int, dst int")
-        .withColumn("local_year", F.explode(F.sequence(year("lo"), year("hi"))))
+        .withColumn("local_year", F.explode(F.sequence(F.greatest(year("lo"), F.lit(YEARS[0])), F.least(year(F.col("hi") - 1), F.lit(YEARS[1])))))
         .groupBy("zone_key", "local_year")
         .agg(F.collect_list(F.struct("lo", "hi", "off", "dst")).alias("spans"))
     )
 
 
+def listed_year(year: Column) -> Column:
+    """The year of the interval table that a year is looked up as."""
+    stands = {(isleap(y), date(y, 1, 1).weekday()): y for y in range(LATER[0], LATER[1] + 1)}
+    like = F.array(*(F.lit(stands[leap, day]) for leap in (False, True) for day in range(7)))
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    place = F.weekday(F.make_date(year, F.lit(1), F.lit(1))) + F.when(leap, 7).otherwise(0)
+    return F.when(year < YEARS[0], YEARS[0]).when(year > YEARS[1], F.get(like, place)).otherwise(year)
+
+
 def _int(c: Column) -> Column:
     return c.try_cast("int")
 
@@ -204,19 +251,21 @@ def resolve(records: DataFrame, sites: DataFrame) -> DataFrame:
         .where("_n = 1").drop("_n")
     )
     r = r.withColumn("_own", own).join(F.broadcast(listed), "abbr", "left")  # at most two for each site
+    stated = F.year(F.date_from_unix_date(F.floor(F.col("local_s") / 86400).cast("int")))
     r = step(
         r,
         _summer=F.coalesce("_own", "_abbr_summer"),
         zone_key=F.when(F.col("kind") == "zone", F.col("zone_text"))
         .when(F.col("kind") == "abbr", F.when(F.col("_own").isNotNull(), F.col("_site_zone")).otherwise(F.col("_abbr_zone")))
         .when(F.col("kind") == "wall", F.col("_site_zone")),
-        local_year=F.year(F.date_from_unix_date(F.floor(F.col("local_s") / 86400).cast("int"))),
-    )
-    zones = sites.select(F.col("tz_name").alias("zone")).unionByName(
-        records.select(F.regexp_extract("raw", ZONE_NAME, 1).alias("zone")).where("zone != ''")
+        _year=stated,
+        local_year=listed_year(stated),
     )
-    r = r.join(F.broadcast(offset_intervals(zones)), ["zone_key", "local_year"], "left")
-    hits = F.filter("spans", lambda x: (x["lo"] <= F.col("local_s")) & (F.col("local_s") < x["hi"]))
+    began = lambda c: F.unix_date(F.make_date(c, F.lit(1), F.lit(1))).cast("long")
+    moved = F.when(F.col("_year") == F.col("local_year"), F.col("local_s")).otherwise(F.col("local_s") + (began("local_year") - began("_year")) * 86400)
+    # fixed size: all zones and years, see offset_intervals
+    r = step(r, _listed_s=moved).join(F.broadcast(offset_intervals(records.sparkSession)), ["zone_key", "local_year"], "left")
+    hits = F.filter("spans", lambda x: (x["lo"] <= F.col("_listed_s")) & (F.col("_listed_s") < x["hi"]))
     standard = F.array_min(F.transform("spans", lambda x: x["off"] - x["dst"]))
     now_standard = F.coalesce(F.get(F.transform(hits, lambda x: x["off"] - x["dst"]), F.lit(0)), standard)
     summer = F.array_max(F.transform(F.filter("spans", lambda x: x["dst"] != 0), lambda x: x["off"]))

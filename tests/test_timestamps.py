@@ -120,3 +120,27 @@ def test_zone_intervals_are_gapless(zone):
 
 def test_unknown_zone():
     assert timestamps.zone_intervals("Nowhere/City") == []
+
+
+@pytest.mark.parametrize(
+    ("raw", "canon"),
+    [
+        ("1965-03-01 10:00:00", "1965-03-01T15:00:00.000000Z"),
+        ("1965-07-01 10:00:00", "1965-07-01T14:00:00.000000Z"),
+        ("1965-03-01 10:00:00 EST", "1965-03-01T15:00:00.000000Z"),
+        ("2105-03-01 10:00:00", "2105-03-01T15:00:00.000000Z"),
+        ("2105-07-01 10:00:00", "2105-07-01T14:00:00.000000Z"),
+        ("2405-07-01 10:00:00", "2405-07-01T14:00:00.000000Z"),
+        ("9999-12-31 10:00:00", "9999-12-31T15:00:00.000000Z"),
+        ("1790-07-01 12:00:00", "1790-07-01T16:56:02.000000Z"),
+        ("2300-07-01 10:00:00 [Europe/London]", "2300-07-01T09:00:00.000000Z"),
+        ("2105-03-08 02:30:00", None),
+        ("1850-01-01 00:30:00 Asia/Tokyo", "1849-12-31T15:11:01.000000Z"),
+        ("2129-01-01 00:30:00 Asia/Tokyo", "2128-12-31T15:30:00.000000Z"),
+    ],
+)
+def test_wall_clocks_of_any_year(spark, raw, canon):
+    sites = spark.createDataFrame([("NY1", "America/New_York", False, "EST", "EDT")], "site_code string, tz_name string, day_first boolean, std_abbrev string, dst_abbrev string")
+    uploads = spark.createDataFrame([(1, "d", "NY1", "web", raw)], "upload_id long, doc_id string, site_code string, channel string, uploaded_at string")
+    dates = spark.createDataFrame([], "date_id long, doc_id string, raw_content string, source string")
+    assert [r["canon"] for r in timestamps.found(uploads, dates, sites).collect()] == ([canon] if canon else [])
