@@ -5,7 +5,8 @@ forest as stars (member -> smallest member). A member then has at most one paren
 smallest becomes its parent for good, every other parent becomes an edge between two parents. Parents are resolved to
 roots by pointer doubling, so the next level's edges join roots only: at most half of this level's nodes are left, the
 number of partitions falls with them, and the levels end when no edge is left. A group of a third of all records is no
-hot key: its stars are spread by member, not by root.
+hot key: edges are spread by a hash of both ends, so a hub's edges are dealt over all partitions whichever end it is, and
+stars are spread by member, not by root.
 
 Defined results: null or blank members are no links; a link of a member with itself, or a list that names one member
 only, makes no group; repeated links count once; an empty table gives an empty result; extra columns are ignored.
@@ -79,7 +80,7 @@ def components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFr
     levels: list[DataFrame] = []
     while (n := e.count()) > 0:
         tasks = max(1, -(-n // edges_per_task))
-        stars = written(forest(e.repartition(tasks, "space", "b") if tasks > 1 else e.coalesce(1)), "forest")
+        stars = written(forest(e.repartition(tasks, "space", "a", "b") if tasks > 1 else e.coalesce(1)), "forest")
         if tasks == 1:  # one partition saw every edge: its forest is final
             levels.append(stars)
             break

@@ -4,6 +4,7 @@ import base64
 import importlib.util
 import os
 import random
+import time
 from datetime import date
 
 import pytest
@@ -27,12 +28,33 @@ have_vocabulary = pytest.mark.skipif(not os.path.exists(f"{FOLDER}/byte_bpe_50k.
         ("", ""), ("​ ", ""), ("PAY", "PAY"), ("Hello…", "Hello..."),
     ],
 )
-def test_skeleton(text, want):
-    assert confusables.skeleton_function()(text) == want
+def test_skeleton(skeleton, text, want):
+    assert skeleton(text) == skeleton(want)
 
 
-def test_skeleton_is_stable():
-    one = confusables.skeleton_function()
+@pytest.fixture(scope="module")
+def skeleton(spark):
+    return confusables.skeleton_function(confusables.look_alikes(spark))
+
+
+@pytest.mark.parametrize(("one", "other"), [("т", "t"), ("м", "m"), ("ᴛ", "t"), ("ⲟ", "o"), ("paypa1", "paypal"), ("rnail", "mail"), ("0CR", "OCR"), ("ꮯ", "c"), ("ʙ", "b"), ("ᎠО", "DO")])
+def test_alike(skeleton, one, other):
+    assert skeleton(one) == skeleton(other)
+
+
+@pytest.mark.parametrize(("one", "other"), [("pay", "Pay"), ("pagina", "página"), ("pay now", "paynow"), ("pay-now", "pay now"), ("b", "d"), ("3", "8")])
+def test_not_alike(skeleton, one, other):
+    assert skeleton(one) != skeleton(other)
+
+
+def test_look_alikes_have_stable_prototypes(spark):
+    table = confusables.look_alikes(spark)
+    assert len(table) > 3000
+    assert all(p.translate(table) == p for p in table.values())
+
+
+def test_skeleton_is_stable(skeleton):
+    one = skeleton
     for text in ("Оculte a assinatura", "ﬁ́ x", "a" * 100_000):
         assert one(one(text)) == one(text)
 
@@ -206,3 +228,39 @@ def test_phrases_in_list_rows_count_for_hosts(spark):
     p = {r.doc_id: r for r in spam.scores(df).collect()}
     assert p[6].segments == 6 and 0.8 < p[6].list_share < 1 and p[0].list_share == 1 and p[0].segments == 5
     assert 6 in {r.doc_id for r in spam.found(df).collect()}
+
+
+def test_long_contexts_are_read_whole():
+    f = pii.Finder(["maria", "silva"])
+    mail = "a" * 200 + "@mail.example.com"
+    assert f.find(f"x {mail}") == [("EMAIL", 2, 2 + len(mail))]
+    assert f.find("Tel." + " " * 100 + "98765432") == [("PHONE", 104, 112)]
+    name = "Maria " + "Abcdefghijkl " * 30 + "Silva"
+    assert f.find(f"x {name}, y") == [("NAME", 2, 2 + len(name))]
+
+
+def test_many_finds_in_one_text_take_linear_time():
+    f = pii.Finder(["maria"])
+    text = " ".join(f"(11) 98765-{i % 10_000:04d};" for i in range(20_000))
+    began = time.perf_counter()
+    assert len(f.find(text)) == 20_000
+    assert time.perf_counter() - began < 5
+
+
+def test_taken_spans():
+    t = pii.Taken([(5, 8), (7, 10), (20, 21)])
+    assert t.spans == [(5, 10), (20, 21)]
+    assert t.free(0, 5) and t.free(10, 20) and not t.free(9, 11) and not t.free(0, 30) and not t.free(6, 7)
+    t.add(11, 12)
+    assert not t.free(10, 20) and t.free(12, 20)
+
+
+def test_pseudonyms_keep_prefixes_and_days():
+    p = pii.Pseudonyms(b"k")
+    new = p.number("+55 (11) 98765-4321", "PHONE")
+    assert new.startswith("+55 (11) 98") and len(new) == 19 and new != "+55 (11) 98765-4321"
+    assert p.number("98765-4321", "PHONE")[:2] == "98"
+    text = p.dates("03/04/1980, 2020-02-30, 1999-12-31 e 31.12.1999")
+    a, b, c, d = text.replace(" e ", ", ").split(", ")
+    assert b == "2020-02-30" and a != "03/04/1980" and c == "-".join(reversed(d.split(".")))
+    assert p.replace("em 03/04/1980", []) == "em 03/04/1980" and p.replace("em 03/04/1980", [], dates=True) == f"em {a}"
