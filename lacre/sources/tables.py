@@ -14,14 +14,17 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share, as the session names it, with one sub-folder for each application.
+
+    A local folder is set only where the session names none and runs in one process (tests); on a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lacre-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/lacre-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -30,3 +33,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes what written() left in the shared folder; results that still read from there must be saved before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
