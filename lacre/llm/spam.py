@@ -6,9 +6,11 @@ phrases' shingles (five words, or the whole phrase where it is shorter; digits d
 exploded, those of lists included, and their distinct hosts counted over the whole corpus, with partial sums before the
 shuffle. Longer segments
 count by the repetition of words in windows (keywords written as one run), as phrases divided by full stops, or, where
-their line has no sentence's end, by the hosts of their shingles. List density is
-the page's own evidence: links, tags, lines of many phrases, and segments that share their first or last two words with others. A page is
-flagged if list density and phrases replicated, on other hosts or as a whole within the page, cover most of it. Only pages whose list characters could reach the threshold are joined with the host counts.
+their line has no sentence's end, by the hosts of their shingles. List density is the page's own evidence: links, tags,
+and phrases of a list that are replicated within it (repeated, sharing a word in lines of many phrases, or sharing their
+first or last two words); a phrase of a list that nothing on the page repeats needs other hosts, as all phrases do. A page
+is flagged if what is replicated, on other hosts or within a list of the page, covers most of it. Only pages whose list
+characters could reach the threshold are joined with the host counts.
 
 Defined results: null, empty and blank texts are no cases; a null source is a host of its own for each document; repeated
 rows yield one id; texts of any length count whole; an empty table gives an empty result; extra columns are ignored.
@@ -84,6 +86,7 @@ class Segments:
         chars: dict = {}
         heads: Counter = Counter()
         lists: set = set()
+        rows: dict = {}
 
         def add(key: tuple, n: int) -> None:
             if key:
@@ -108,8 +111,8 @@ class Segments:
                 elif n <= 90 and (words := self.phrase(segment)):
                     key = tuple(words)
                     if row:
-                        sure, links = sure + n, links + 1
-                        lists.add(key)
+                        times, size = rows.get(key, (0, 0))
+                        rows[key] = (times + 1, size + n)
                         continue
                     add(key, n)
                 elif n > 40:
@@ -125,6 +128,14 @@ class Segments:
                         lists.add(tuple(self.words(segment.lower())))
                     elif not prose and not self.record.search(segment):
                         add(tuple(self.words(segment.lower())), n)
+        shared = Counter(w for key in rows for w in set(key))
+        for key, (times, size) in rows.items():
+            if times > 1 or any(shared[w] > 1 for w in key):
+                sure, links = sure + size, links + times
+                lists.add(key)
+            else:
+                phrases[key] += times
+                chars[key] = chars.get(key, 0) + size
         for key in [k for k in phrases if len(k) > 2 and (heads[0, k[:2]] >= DENSE or heads[1, k[-2:]] >= DENSE)]:
             sure, links = sure + chars.pop(key), links + phrases.pop(key)
             lists.add(key)
