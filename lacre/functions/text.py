@@ -1,29 +1,51 @@
 """Text folding and labels as column expressions.
 
-Accents are taken away by a translation table made from the Unicode decompositions, so folding stays in the JVM.
+Folding is NFKD without combining marks, case folded, white space collapsed. Characters with one folded character go
+through a translation table, the few with several (ligatures, sharp s, fractions) through a map, and only in texts that
+hold one; both are made from the Unicode data of Python, so folding stays in the JVM.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space that split() of Python cuts at.
+SPACES = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 
-def _table() -> tuple[str, str]:
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2000)]
-    pairs = [(a, b[0]) for a, b in pairs if len(b) > 1 and all(unicodedata.combining(m) for m in b[1:])]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+@cache
+def forms() -> tuple[str, str, dict[str, str]]:
+    """(from, to, several): characters with one folded character, those without any at the end, and those with several.
+
+    Hangul, ideographs and ligatures of Arabic stay as they are.
+    """
+    one, none, several = [], [], {}
+    for c in map(chr, (*range(0xA1, 0x3400), *range(0xA000, 0xAC00), *range(0xFB00, 0xFB50), *range(0xFE50, 0xFFF0), *range(0x1D400, 0x1D800))):
+        f = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        if not f:
+            none.append(c)
+        elif len(f) > 1:
+            several[c] = f
+        elif f != c.lower() and f != c:
+            one.append((c, f))
+    return "".join(c for c, _ in one) + "".join(none), "".join(f for _, f in one), several
 
 
 def unaccented(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, *_table()), r"\p{M}+", "")
+    """Without accents, widths and typefaces; the case of ASCII letters stays."""
+    source, target, several = forms()
+    table = F.map_from_arrays(F.array(*map(F.lit, several)), F.array(*map(F.lit, several.values())))
+    spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.translate(F.when(c.rlike("[" + "".join(several) + "]"), spelt).otherwise(c), source, target)
 
 
 def folded(c: Column) -> Column:
     """Lower case without accents, white space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(F.lower(unaccented(c)), r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(F.lower(unaccented(c)), SPACES, " "))
 
 
 def compact(c: Column) -> Column:
@@ -41,4 +63,5 @@ def title_of(code: Column) -> Column:
 
 
 def code_of(category: Column, prefix: str) -> Column:
-    return F.concat(F.lit(prefix), F.upper(F.regexp_replace(F.trim(category), r"[\s-]+", "_")))
+    """The prefix with the category in capitals, all but letters and digits as one underscore, none at the ends."""
+    return F.concat(F.lit(prefix), F.regexp_replace(F.regexp_replace(F.upper(category), "[^A-Z0-9]+", "_"), "^_+|_+$", ""))

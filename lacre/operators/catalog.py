@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The URL namespace of RFC 4122.
-NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+#: Fixed value: the namespace of element ids.
+NAMESPACE = "8b0bd7dd81184e8da51f3a49da0c9377"
 
 
 def element_id(document: Column, key: Column) -> Column:
     """Version 5 UUID of "document:key" (lower case), from SHA-1, in the JVM."""
-    h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE)), F.encode(F.concat(F.lower(document), F.lit(":"), F.lower(key)), "utf-8")))
+    h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE)), F.encode(F.concat(F.lower(document), F.lit(":"), F.lower(F.trim(key))), "utf-8")))
     variant = F.substring(F.lit("89ab"), 1, 4)
     nibble = F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.substr(variant, nibble, F.lit(1)), F.substring(h, 18, 3)), F.substring(h, 21, 12))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacre.functions.checks import decoded
 from lacre.functions.geometry import contrast, hex_colour, luminance
 from lacre.functions.once import step
-from lacre.functions.text import compact, folded
+from lacre.functions.text import SPACES, code_of, compact, folded
 
 #: Signals of the five intent groups, folded.
 SIGNALS = {
@@ -33,6 +34,8 @@ SIGNALS = {
         "fale que nao existe", "diga que nao existe", "informe que nao existe", "always say", "always state", "always respond", "answer only", "respond only", "do not mention", "do not say",
     ),
 }
+#: The first English signal of each group.
+FIRST_ENGLISH = frozenset(("ai", "if asked", "tell", "favor the plaintiff", "always say"))
 #: Imperatives that make a concealed text look like an instruction, as patterns on lower case.
 INSTRUCTIONS = (
     r"\bverifique\b", r"\bconfira\b", r"\binforme\b", r"\bresponda\b", r"\bdiga\b", r"\bignore\b", r"\bconsidere\b", r"\bmarque\b", r"\buse\b", r"\bfa[çc]a\b",
@@ -41,22 +44,158 @@ INSTRUCTIONS = (
 TINY_POINTS, WHITE_CHANNEL, SMALL_POINTS, CONTRAST, EXTREME_CONTRAST = 4.0, 245 / 255, 6.5, 2.0, 1.5
 
 
+#: A phrase's first runs of word characters, by which it is looked up.
+LEAD = 3
+#: Phrases that are broadcast at most; a longer catalogue is joined by shuffle.
+PHRASES = 100_000
+
+
+def _runs(c: Column) -> Column:
+    return F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+
+
+def phrase_matches(texts: DataFrame, phrases: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, phrase_id, category, lang, t, start, stop): every occurrence of a listed phrase in the folded text t, in
+    characters from 0. A phrase may not go on in a word at either side, tested only where its own edge is a letter or digit.
+
+    Texts are cut into windows of word runs and phrases looked up by the hash of their first three runs, so the join is an
+    equi-join and no text meets all phrases; the pattern is tested on these candidates alone.
+    """
+    listed = phrases.select("phrase_id", "category", "lang", folded(F.col("phrase")).alias("p")).where("p != ''")
+    listed = listed.withColumn("_r", _runs(F.col("p"))).where(F.size("_r") > 0).withColumn("lead", F.array_join(F.slice("_r", 1, LEAD), " ")).withColumn("k", F.least(F.size("_r"), F.lit(LEAD)))
+    sizes = sorted(r[0] for r in listed.select("k").distinct().collect())  # three values at most
+    t = step(texts.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")), t=folded(F.col("_text")))
+    t = step(t.select(key, "t"), w=_runs(F.col("t")))
+
+    def windows_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    windows = [windows_of(n) for n in sizes]
+    leads = t.select(key, "t", F.explode(F.array_distinct(F.concat(*windows) if windows else F.array())).alias("lead"))
+    fixed = listed.drop("_r", "k")
+    hit = leads.join(F.broadcast(fixed) if phrases.count() <= PHRASES else fixed, "lead")
+    edge = lambda c, look: F.when(c.rlike(r"[\p{L}\p{N}]"), look).otherwise("")
+    pattern = F.concat(edge(F.substring("p", 1, 1), r"(?<![\p{L}\p{N}_])"), F.lit("\\Q"), F.col("p"), F.lit("\\E"), edge(F.substring("p", -1, 1), r"(?![\p{L}\p{N}_])"))
+    hit = step(hit.withColumn("_x", pattern), _parts=F.split("t", F.col("_x"), -1))
+    lengths = lambda i: F.aggregate(F.slice("_parts", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+    starts = F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda i: lengths(i) + (i - 1) * F.length("p"))
+    found = hit.where(F.size("_parts") > 1).select(key, "phrase_id", "category", "lang", "t", F.length("p").alias("_n"), F.explode(starts).alias("start"))
+    return found.select(key, "phrase_id", "category", "lang", "t", "start", (F.col("start") + F.col("_n")).alias("stop"))
+
+
 def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, phrase_id, category, lang, hits): phrases inside texts, folded, at word edges.
+    """(key, phrase_id, category, lang, hits): how often each phrase stands in a text; see phrase_matches()."""
+    return phrase_matches(texts, phrases, key, text).groupBy(key, "phrase_id", "category", "lang").agg(F.count("*").alias("hits"))
+
+
+#: Confidence and weight of a phrase's category; other categories have 0.6 and 0.5.
+CATEGORY_CONFIDENCE = {"instruction_override": 0.95, "ai_targeting": 0.75, "role_manipulation": 0.85, "system_prompt_extraction": 0.98, "response_control": 0.70, "tool_manipulation": 0.90, "prompt_structure": 0.65}
+CATEGORY_WEIGHT = {"instruction_override": 0.95, "ai_targeting": 0.60, "role_manipulation": 0.80, "system_prompt_extraction": 1.00, "response_control": 0.55, "tool_manipulation": 0.85, "prompt_structure": 0.50}
+
+
+def _by_category(values: dict[str, float], default: float) -> Column:
+    table = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim("category"))), F.lit(default))
 
-    Both sides are cut into three-word shingles; a phrase is looked up by the hash of its first three words, so the join
-    is an equi-join and no text meets all phrases. phrases is broadcast: a fixed catalogue of a few hundred rows.
+
+def original_places(matches: DataFrame, key: str, text: str) -> DataFrame:
+    """Matches (with the original text) and where they stand in it: adds start_index, end_index, matched.
+
+    Characters that fold to nothing have no place of their own, white space after white space neither. The folded text has
+    no leading white space but the walk counts it, so in a text that begins with some, all places lie one character early.
+    Only texts with a match are walked, in Arrow batches.
     """
-    words = lambda c: F.split(folded(c), " ")
-    listed = phrases.select("phrase_id", "category", "lang", folded(F.col("phrase")).alias("p")).withColumn("lead", F.array_join(F.slice(F.split("p", " "), 1, 3), " "))
-    t = texts.where(F.col(text).isNotNull()).select(key, F.array_join(words(F.col(text)), " ").alias("t"))
-    w = F.split("t", " ")
-    leads = t.select(key, "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))).alias("lead"))
-    hit = leads.join(F.broadcast(listed), "lead")
-    padded = F.concat(F.lit(" "), F.col("t"), F.lit(" "))
-    inside = F.concat(F.lit(" "), F.col("p"), F.lit(" "))
-    n = (F.length(padded) - F.length(F.replace(padded, inside, F.lit(" ")))) / (F.length("p") + 1)
-    return hit.where(F.contains(padded, inside)).select(key, "phrase_id", "category", "lang", n.cast("long").alias("hits")).distinct()
+    kept = [c for c in matches.columns if c != text]
+    schema = ", ".join(f"{c} {matches.schema[c].dataType.simpleString()}" for c in kept) + ", start_index int, end_index int, matched string"
+
+    def walk(batches: Iterator) -> Iterator:
+        import unicodedata
+        from bisect import bisect_left, bisect_right
+
+        import pyarrow as pa
+
+        def ends(t: str) -> list[int]:
+            out, n, blank = [], 0, False
+            for c in t:
+                f = " " if c.isspace() else "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+                n += 0 if f == " " and blank else len(f)
+                blank = f == " " or blank and not f
+                out.append(n)
+            return out
+
+        for batch in batches:
+            known: dict = {}
+            rows = []
+            for t, a, b in zip(*(batch.column(c).to_pylist() for c in (text, "start", "stop")), strict=True):
+                e = known.get(t)
+                if e is None:
+                    e = known[t] = ends(t)
+                at = bisect_right(e, a)
+                to = bisect_left(e, b) + 1
+                rows.append((at, min(to, len(t)), t[at:to]))
+            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *cols], [*kept, "start_index", "end_index", "matched"])
+
+    return matches.select(*kept, text).mapInArrow(walk, schema)
+
+
+def excerpt(text: Column, at: Column, to: Column, context: int = 80) -> Column:
+    """The text around a place, white space collapsed."""
+    begin = F.greatest(at - context, F.lit(0))
+    return F.trim(F.regexp_replace(F.substr(text, begin + 1, to + context - begin), SPACES, " "))
+
+
+def phrase_evidence(texts: DataFrame, phrases: DataFrame, key: str, text: str) -> DataFrame:
+    """Evidence rows of the phrase detector: one for each language, category and place (the lowest phrase_id of equal
+    ones), with code, confidence, weight, place in the original text and excerpt; number counts a text's rows by place,
+    heavier ones first."""
+    m = phrase_matches(texts, phrases, key, text).join(texts.select(key, text), key).drop("t")
+    m = original_places(m, key, text)
+    kept = m.groupBy(key, F.lower("lang").alias("lang"), F.lower("category").alias("category"), "start_index", "end_index").agg(F.min_by(F.struct("phrase_id", "matched"), "phrase_id").alias("m"))
+    e = kept.join(texts.select(key, text), key).select(
+        key, "m.phrase_id", "lang", "category", "start_index", "end_index", "m.matched", excerpt(F.col(text), F.col("start_index"), F.col("end_index")).alias("excerpt"), code_of(F.col("category"), "PROMPT_INJECTION_").alias("code"),
+        _by_category(CATEGORY_CONFIDENCE, 0.6).alias("confidence"), _by_category(CATEGORY_WEIGHT, 0.5).alias("weight"),
+    )
+    order = Window.partitionBy(key).orderBy("start_index", F.col("weight").desc(), "phrase_id", "lang", "category")
+    return e.withColumn("number", F.row_number().over(order).cast("long"))
+
+
+#: Signals that tell no language although they are listed.
+NO_LANGUAGE = frozenset(("chat", "chatgpt", "ia", "llm", "ai", "assistant"))
+
+
+def languages() -> dict[str, str]:
+    """The language of each signal that tells one: the lists hold Portuguese signals first, then English ones."""
+    out = {}
+    for signals in SIGNALS.values():
+        at = next(i for i, x in enumerate(signals) if x in FIRST_ENGLISH)
+        out.update({x: "en" if i >= at else "pt-BR" for i, x in enumerate(signals) if x not in NO_LANGUAGE})
+    return out
+
+
+def signals_found(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, lang, n_<group>, signals): matched signals of each group, in order, and the language most of them tell (null
+    on a tie). Short signals also match inside words; those of four letters and more also match the text's letters alone."""
+    t = step(texts.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")), f=folded(F.col("_text")), c=compact(F.col("_text")))
+
+    def hit(signal: str) -> Column:
+        tight = signal.replace(" ", "")
+        return F.col("f").contains(signal) | F.col("c").contains(tight) if len(tight) >= 4 else F.col("f").contains(signal)
+
+    told = languages()
+    groups = {g: F.filter(F.array(*(F.when(hit(x), x) for x in signals)), lambda x: x.isNotNull()) for g, signals in SIGNALS.items()}
+    df = step(t.select(key, "f", "c"), **groups)
+    every = F.array_distinct(F.concat(*(F.col(g) for g in SIGNALS)))
+    of = lambda lang: F.size(F.array_intersect(every, F.array(*(F.lit(x) for x, v in told.items() if v == lang))))
+    df = step(df, every=every, pt=of("pt-BR"), en=of("en"))
+    lang = F.when(F.col("pt") > F.col("en"), "pt-BR").when(F.col("en") > F.col("pt"), "en")
+    return df.select(key, lang.alias("lang"), *(F.size(g).cast("long").alias(f"n_{g}") for g in SIGNALS), F.array_join("every", "|").alias("signals"))
+
+
+def intent_excerpt(text: Column, most: int = 500) -> Column:
+    """White space collapsed; longer texts cut, with three dots."""
+    t = F.trim(F.regexp_replace(text, SPACES, " "))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, most)), F.lit("...")))
 
 
 def intent_groups(f: Column, c: Column) -> dict[str, Column]:

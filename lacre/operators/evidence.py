@@ -44,12 +44,16 @@ def prevalence(evidences: DataFrame, documents: DataFrame) -> DataFrame:
     return out.select("code", title_of(F.col("code")).alias("title"), "affected", "total_documents", "occurrences", F.round(F.col("affected") / F.col("total_documents") * 100, 2).alias("prevalence"), "highest_confidence")
 
 
-def assessments(evidences: DataFrame, strong: float = 0.8) -> DataFrame:
+#: Categories that count as strong.
+STRONG = ("instruction_override", "system_prompt_extraction", "tool_manipulation")
+
+
+def assessments(evidences: DataFrame) -> DataFrame:
     """Risk score of each document: the best weighted evidence plus bonuses for variety, number and strong categories."""
     e = evidences.distinct().select(F.lower("doc_id").alias("doc_id"), clamped().alias("c"), F.coalesce("weight", F.lit(0.5)).alias("w"), F.lower(F.trim("category")).alias("category"), "lang", "detector")
     top = F.max(F.col("c") * F.col("w"))
     cats, n = F.count_distinct("category"), F.count("*")
-    strong_cats = F.count_distinct(F.when(F.col("w") >= strong, F.col("category")))
+    strong_cats = F.count_distinct(F.when(F.col("category").isin(*STRONG), F.col("category")))
     score = top + F.least(0.05 * F.greatest(cats - 1, F.lit(0)), F.lit(0.15)) + F.least(0.03 * F.greatest(n - 1, F.lit(0)), F.lit(0.12)) + F.least(0.08 * strong_cats, F.lit(0.16))
     out = e.groupBy("doc_id").agg(F.round(F.least(score, F.lit(1.0)), 4).alias("score"), cats.alias("categories"), n.alias("evidences"), F.count_distinct("detector").alias("detectors"), F.count_distinct("lang").alias("languages"))
     level = F.lit("CRITICAL")

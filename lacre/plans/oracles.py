@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lacre.functions.text import SPACES, forms
 from lacre.operators.detectors import INSTRUCTIONS, SIGNALS
 from lacre.operators.observations import KINDS, MEMBERS, PLAIN
 
@@ -14,8 +15,16 @@ NAMES = "['critical', 'high', 'medium', 'low', 'info', 'unknown']"
 CLAMP = "least(greatest(coalesce(confidence, 0.0), 0.0), 1.0)"
 
 
+def unaccented(c: str) -> str:
+    source, target, several = forms()
+    pairs = ", ".join(f"'{k}': '{v}'" for k, v in several.items())
+    spelt = f"array_to_string(list_transform(string_split({c}, ''), lambda x: coalesce((map {{{pairs}}})[x], x)), '')"
+    target = target.replace("'", "''")
+    return f"translate(case when regexp_matches({c}, '[{''.join(several)}]') then {spelt} else {c} end, '{source}', '{target}')"
+
+
 def folded(c: str) -> str:
-    return f"trim(regexp_replace(lower(strip_accents({c})), '[\\s\\x{{00a0}}]+', ' ', 'g'))"
+    return f"trim(regexp_replace(lower({unaccented(c)}), '{SPACES}', ' ', 'g'))"
 
 
 def mod10(c: str, n: int) -> str:
@@ -64,9 +73,15 @@ MEASURED = (
 )
 RATIO = "((greatest(luminance, 1.0) + 0.05) / (least(luminance, 1.0) + 0.05))"
 
+WORD = "'[\\p{L}\\p{N}_]'"
+#: Places are tried one after the other, with a word-edge test where the phrase's own edge is a letter or digit.
 HITS = (
     f"with t as (select distinct span_id, {folded('text')} t from spans where text is not null), p as (select phrase_id, category, lang, {folded('phrase')} p from phrases), "
-    "hits as (select span_id, phrase_id, category, lang, ((length(' ' || t || ' ') - length(replace(' ' || t || ' ', ' ' || p || ' ', ' '))) / (length(p) + 1))::bigint as hits from t, p where contains(' ' || t || ' ', ' ' || p || ' ')) "
+    "c as (select * from t, p where p <> '' and contains(t, p)), "
+    "places as (select *, list_filter(range(1, length(t) - length(p) + 2), lambda i: substr(t, i, length(p)) = p "
+    f"and (not regexp_matches(substr(p, 1, 1), '[\\p{{L}}\\p{{N}}]') or i = 1 or not regexp_matches(substr(t, i - 1, 1), {WORD})) "
+    f"and (not regexp_matches(substr(p, length(p), 1), '[\\p{{L}}\\p{{N}}]') or i + length(p) > length(t) or not regexp_matches(substr(t, i + length(p), 1), {WORD}))) as spots from c), "
+    "hits as (select span_id, phrase_id, category, lang, p, spots, length(spots)::bigint as hits from places where length(spots) > 0) "
 )
 
 
@@ -76,7 +91,7 @@ def _group(signals: tuple[str, ...]) -> str:
 
 
 INTENTS = (
-    f"with t as (select distinct evidence_id, concat_ws(' ', 'Chat, se te pedirem, responda:', original_excerpt) t from evidences), n as (select evidence_id, {folded('t')} f, regexp_replace(lower(strip_accents(t)), '[^a-z0-9]', '', 'g') c from t), "
+    f"with t as (select distinct evidence_id, concat_ws(' ', 'Chat, se te pedirem, responda:', original_excerpt) t from evidences), n as (select evidence_id, {folded('t')} f, regexp_replace(lower({unaccented('t')}), '[^a-z0-9]', '', 'g') c from t), "
     "g as (select evidence_id, " + ", ".join(f"{_group(s)} as {k}" for k, s in SIGNALS.items()) + " from n), "
     "k as (select *, " + " + ".join(f"{k}::int" for k in SIGNALS) + " as n from g) "
     "select evidence_id, n::bigint as groups, round(least((case when n >= 5 then 0.98 when n >= 4 then 0.92 when n >= 3 then 0.82 else 0.72 end)::double + (case when bias_control then 0.02 else 0.0 end)::double, 1.0), 4) as confidence "
@@ -165,7 +180,7 @@ from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3 or l
     "finding_prevalence": f"with e as (select distinct * from evidences where trim(code) <> ''), n as (select count(distinct lower(doc_id)) total from analyses), g as (select upper(trim(code)) code, count(distinct lower(doc_id)) affected, count(*) occurrences, max({CLAMP}) c from e group by 1) "
     "select code, array_to_string(list_transform(string_split(lower(regexp_replace(code, '_+', ' ', 'g')), ' '), lambda x: upper(x[1]) || x[2:]), ' ') as title, affected, total as total_documents, occurrences, round(affected / total * 100, 2) as prevalence, c as highest_confidence from g, n",
     "document_assessments": f"with e as (select distinct * from evidences), w as (select lower(doc_id) doc_id, {CLAMP} c, coalesce(weight, 0.5) w, lower(trim(category)) category, lang, detector from e), "
-    "g as (select doc_id, max(c * w) t, count(distinct category) categories, count(*) evidences, count(distinct detector) detectors, count(distinct lang) languages, count(distinct case when w >= 0.8 then category end) strong from w group by 1), "
+    "g as (select doc_id, max(c * w) t, count(distinct category) categories, count(*) evidences, count(distinct detector) detectors, count(distinct lang) languages, count(distinct case when category in ('instruction_override', 'system_prompt_extraction', 'tool_manipulation') then category end) strong from w group by 1), "
     "s as (select *, round(least(t + least(0.05::double * greatest(categories - 1, 0), 0.15::double) + least(0.03::double * greatest(evidences - 1, 0), 0.12::double) + least(0.08::double * strong, 0.16::double), 1.0), 4) score from g) "
     "select doc_id, score, categories, evidences, detectors, languages, case when score <= 0 then 'NONE' when score < 0.3 then 'LOW' when score < 0.55 then 'MEDIUM' when score < 0.8 then 'HIGH' else 'CRITICAL' end as level from s",
     "severity_by_detector": f"with e as (select distinct * from evidences) select detector, " + ", ".join(f"sum(({RANK} = {i})::int)::bigint as {s}" for i, s in enumerate(("critical", "high", "medium", "low", "info"))) + f", {NAMES}[min({RANK}) + 1] as gravest from e group by 1",
