@@ -30,16 +30,38 @@ class Box:
     def area(self) -> Column:
         return (self.right - self.left) * (self.bottom - self.top)
 
+    @property
+    def centre(self) -> tuple[Column, Column]:
+        return (self.left + self.right) / 2, (self.top + self.bottom) / 2
+
+    def moved(self, dx: Column | float, dy: Column | float) -> Box:
+        return Box(self.left + dx, self.top + dy, self.right + dx, self.bottom + dy)
+
+    def intersection(self, other: Box) -> Column:
+        """Area in common; null where the boxes are apart."""
+        return F.when(self.intersects(other), self.shared(other))
+
+    def near(self, other: Box, across: float = 100, down: float = 75) -> Column:
+        """Whether the gaps between two boxes are at most so wide."""
+        gap = lambda a, b, c, d: F.greatest(F.lit(0.0), a - b, c - d)
+        return (gap(other.left, self.right, self.left, other.right) <= across) & (gap(other.top, self.bottom, self.top, other.bottom) <= down)
+
     def shared(self, other: Box) -> Column:
         """Area of the intersection, 0 where the boxes are apart."""
         w = F.least(self.right, other.right) - F.greatest(self.left, other.left)
         h = F.least(self.bottom, other.bottom) - F.greatest(self.top, other.top)
         return F.greatest(w, F.lit(0)) * F.greatest(h, F.lit(0))
 
-    def intersects(self, other: Box) -> Column:
+    def intersects(self, other: Box, edges: bool = False) -> Column:
+        """Whether boxes share an area; with edges, whether they touch at least."""
+        if edges:
+            return (self.left <= other.right) & (other.left <= self.right) & (self.top <= other.bottom) & (other.top <= self.bottom)
         return (self.left < other.right) & (other.left < self.right) & (self.top < other.bottom) & (other.top < self.bottom)
 
-    def contains(self, other: Box) -> Column:
+    def contains(self, other: Box, edges: bool = True) -> Column:
+        """Whether the other box lies inside; without edges, strictly."""
+        if not edges:
+            return (self.left < other.left) & (self.top < other.top) & (self.right > other.right) & (self.bottom > other.bottom)
         return (self.left <= other.left) & (self.top <= other.top) & (self.right >= other.right) & (self.bottom >= other.bottom)
 
     def iou(self, other: Box) -> Column:
@@ -63,6 +85,8 @@ def contrast(one: Column, other: Column) -> Column:
     return (F.greatest(one, other) + 0.05) / (F.least(one, other) + 0.05)
 
 
-def hex_colour(red: Column, green: Column, blue: Column) -> Column:
+def hex_colour(red: Column, green: Column, blue: Column, alpha: Column | None = None) -> Column:
+    """#RRGGBB, or with an alpha under 1 #RRGGBBAA."""
     two = lambda c: F.lpad(F.hex(F.round(c * 255).cast("int")), 2, "0")
-    return F.concat(F.lit("#"), two(red), two(green), two(blue))
+    last = F.lit("") if alpha is None else F.when(alpha < 1, two(alpha)).otherwise("")
+    return F.concat(F.lit("#"), two(red), two(green), two(blue), last)

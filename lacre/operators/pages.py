@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +26,32 @@ def canonical_trimmed(c: Column) -> Column:
     return F.when(F.trim(c) != "", F.trim(c))
 
 
+@cache
+def case_forms() -> tuple[str, str, dict[str, str]]:
+    """Characters whose folded case isn't their lower case: with one character (from, to), and with several."""
+    forms = [(c, c.casefold()) for c in map(chr, range(0x80, 0x2000)) if c.casefold() != c.lower()]
+    return "".join(c for c, f in forms if len(f) == 1), "".join(f for _, f in forms if len(f) == 1), {c: f for c, f in forms if len(f) > 1}
+
+
 def canonical_folded(c: Column) -> Column:
-    return F.lower(canonical_trimmed(c))
+    """Trimmed, case folded (sharp s as ss and the like)."""
+    source, target, several = case_forms()
+    table = F.map_from_arrays(F.array(*map(F.lit, several)), F.array(*map(F.lit, several.values())))
+    spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.lower(F.translate(canonical_trimmed(F.when(c.rlike("[" + "".join(several) + "]"), spelt).otherwise(c)), source, target))
+
+
+@cache
+def digit_class() -> str:
+    """A pattern's class of all characters that are digits of any script, superscripts and circled ones included."""
+    points = [i for i in range(0x110000) if chr(i).isdigit()]
+    begins = [i for i, p in enumerate(points) if i == 0 or points[i - 1] != p - 1]
+    return "".join(f"\\x{{{points[a]:x}}}-\\x{{{points[b - 1]:x}}}" for a, b in zip(begins, [*begins[1:], len(points)], strict=True))
 
 
 def canonical_digits(c: Column) -> Column:
-    d = F.regexp_replace(c, "[^0-9]", "")
+    """Digits of any script as they stand; null where there is none."""
+    d = F.regexp_replace(c, f"[^{digit_class()}]", "")
     return F.when(d != "", d)
 
 

@@ -225,13 +225,13 @@ from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3 or l
     "page_texts": "with s as (select distinct * from spans where trim(text) <> '') select lower(doc_id) as doc_id, page, string_agg(text, chr(10) order by pos, span_id) as text from s group by 1, 2",
     "document_texts": "with s as (select distinct * from spans where trim(text) <> ''), p as (select lower(doc_id) doc_id, page, string_agg(text, chr(10) order by pos, span_id) t from s group by 1, 2), "
     "d as (select doc_id, count(*) pages, string_agg('--- Página ' || page || ' ---' || chr(10) || t, chr(10) || chr(10) order by page) t from p group by 1) select doc_id, pages, length(t)::bigint as characters, md5(t) as digest from d",
-    "canonical_values": "with b as (select distinct * from boxes) select box_id, nullif(trim(text), '') as trimmed, lower(nullif(trim(text), '')) as folded, nullif(regexp_replace(text, '[^0-9]', '', 'g'), '') as digits, nullif(lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')), '') as compact from b",
-    "clean_cells": "with b as (select distinct * from boxes where text is not null), c as (select box_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') t from b) select box_id, case when regexp_matches(t, '^[=+\\-@]') then chr(39) || t else t end as cell from c",
+    "canonical_values": "with b as (select distinct * from boxes) select box_id, nullif(trim(text), '') as trimmed, lower(replace(nullif(trim(text), ''), 'ß', 'ss')) as folded, nullif(regexp_replace(text, '[^\\p{Nd}]', '', 'g'), '') as digits, nullif(lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')), '') as compact from b",
+    "clean_cells": "with b as (select distinct * from boxes where text is not null), c as (select box_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') t from b) select box_id, case when regexp_matches(t, '^\\s*[=+\\-@]') then chr(39) || t else t end as cell from c",
     "colour_distances": "with s as (select distinct * from spans), l as (select span_id, red * alpha + (1 - alpha) r, green * alpha + (1 - alpha) g, blue * alpha + (1 - alpha) b from s) select span_id, round(sqrt(((r - 1) * (r - 1) + (g - 1) * (g - 1) + (b - 1) * (b - 1)) / 3), 6) as distance from l",
     "ocr_quality": "with b as (select distinct * from boxes where trim(text) <> '' and coalesce(confidence, 0) >= 0), r as (select lower(doc_id) doc_id, confidence, case when confidence <= 1 then confidence else confidence / 100 end c from b) "
     "select doc_id, case when c >= 0.9 then 'high' when c >= 0.7 then 'medium' when c is not null then 'low' else 'unknown' end as band, count(*) as boxes, min(confidence) as least, max(confidence) as most from r group by 1, 2",
     "export_audit": "with " + FIRST.rstrip() + ", g as (select lower(doc_id) doc_id, regexp_extract(lower(sha256), '([0-9a-f]{64})', 1) sha, pos from f), x as (select distinct lower(doc_id) doc_id from batch_documents) "
-    "select case when g.doc_id is null then 'MISSING' when g.sha = (case when pos % 10 = 0 then reverse(g.sha) else g.sha end) then 'VERIFIED' else 'HASH_MISMATCH' end as status, count(*) as rows from x left join g using (doc_id) group by 1",
+    "select case when g.doc_id is null then 'MISSING_PDF' when coalesce(g.sha, '') = '' then 'INSPECTION_FAILED' when g.sha = (case when pos % 10 = 0 then reverse(g.sha) else g.sha end) then 'INSPECTED_HASH_VERIFIED' else 'HASH_MISMATCH' end as status, count(*) as rows from x left join g using (doc_id) group by 1",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as events, round(sum(value), 4) as total, max(value) as most from events group by 1, 2",
     "event_sessions": "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end n from events), s as (select *, sum(n) over (partition by user_id order by ts range unbounded preceding) k from g) "
     "select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as start, count(*) as events from s group by user_id, k",

@@ -560,7 +560,7 @@ def document_order(spark: SparkSession, base: str) -> DataFrame:
 
 
 from lacre.plans.oracles import ORACLES  # noqa: E402, F401
-from lacre.plans import fingerprints, prompts, register  # noqa: E402, F401
+from lacre.plans import adapters, fingerprints, prompts, register  # noqa: E402, F401
 
 QUERIES.update(register.QUERIES)
 ORACLES.update(register.ORACLES)
