@@ -59,9 +59,9 @@ def all_pages(counts: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def sized_pages(sizes: DataFrame, spans: DataFrame) -> DataFrame:
-    """sizes(doc_id, page, width, height) with the number and mean confidence of the page's OCR spans; a span on a page that
+    """sizes(doc_id, page, width, height) with the number and least confidence of the page's OCR spans; a span on a page that
     the document doesn't have is an error."""
-    n = spans.groupBy("doc_id", "page").agg(F.count("*").alias("spans"), F.avg("confidence").alias("confidence"))
+    n = spans.groupBy("doc_id", "page").agg(F.count("*").alias("spans"), F.min("confidence").alias("confidence"))
     j = sizes.join(n, ["doc_id", "page"], "full")
     return j.where(F.when(F.col("width").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no such page: "), F.col("page").cast("string"))).cast("boolean")))
 
@@ -93,8 +93,7 @@ def merged_observations(observed: DataFrame, overlap: float = SAME_CODE) -> Data
     """observed(doc_id, page, seq, format, content, x, y, w, h, pass) -> one row for each physical code.
 
     Observations with one format and trimmed content merge, in order of seq, into the first code of their page that they
-    overlap (intersection over the smaller area), or that has no box like themselves; missing boxes are filled by later
-    ones. Codes of one page only ever meet each other; the fold runs in the JVM.
+    overlap (intersection over the smaller area), or that has no box like themselves. Codes of one page only ever meet each other; the fold runs in the JVM.
     """
     o = observed.distinct().where("trim(content) != ''").withColumn("content", F.trim("content"))
     item = F.struct("seq", "x", "y", "w", "h", "pass")
@@ -104,7 +103,7 @@ def merged_observations(observed: DataFrame, overlap: float = SAME_CODE) -> Data
     def same(k: Column, x: Column) -> Column:
         one, two = (Box.sized(v["x"], v["y"], v["w"], v["h"]) for v in (k, x))
         bare = k["x"].isNull() & x["x"].isNull()
-        return bare | F.coalesce(one.overlap(two) >= overlap, F.lit(False))
+        return bare | (k["x"].isNotNull() & x["x"].isNotNull() & F.coalesce(one.overlap(two) >= overlap, F.lit(False)))
 
     def put(kept: Column, x: Column) -> Column:
         at = F.array_position(F.transform(kept, lambda k: same(k, x)), True)
@@ -112,7 +111,7 @@ def merged_observations(observed: DataFrame, overlap: float = SAME_CODE) -> Data
             x["seq"].alias("seq"), x["x"].alias("x"), x["y"].alias("y"), x["w"].alias("w"), x["h"].alias("h"), F.lit(1).cast("long").alias("n"), (x["pass"] == "baseline").alias("baseline"), F.array(x["pass"]).alias("passes")
         )
         merged = lambda k: F.struct(
-            k["seq"].alias("seq"), F.coalesce(k["x"], x["x"]).alias("x"), F.coalesce(k["y"], x["y"]).alias("y"), F.coalesce(k["w"], x["w"]).alias("w"), F.coalesce(k["h"], x["h"]).alias("h"),
+            *(k[e].alias(e) for e in ("seq", "x", "y", "w", "h")),
             (k["n"] + 1).alias("n"), (k["baseline"] | (x["pass"] == "baseline")).alias("baseline"), F.array_union(k["passes"], F.array(x["pass"])).alias("passes"),
         )
         return F.when(at == 0, F.concat(kept, F.array(own))).otherwise(F.transform(kept, lambda k, i: F.when(i + 1 == at, merged(k)).otherwise(k)))

@@ -73,15 +73,15 @@ def document_pages(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(
-    _B + ", n as (select doc_id, max(page) pages from b group by 1), p as (select doc_id, unnest(range(1, pages + 1))::int page from n), c as (select doc_id, page, count(*) n, avg(confidence) c from b where trim(text) <> '' group by 1, 2) "
-    "select doc_id, page, (590 + page % 3)::int as width, n as spans, round(c * n, 2) as confidence from p left join c using (doc_id, page)"
+    _B + ", n as (select doc_id, max(page) pages from b group by 1), p as (select doc_id, unnest(range(1, pages + 1))::int page from n), c as (select doc_id, page, count(*) n, min(confidence) c from b where trim(text) <> '' group by 1, 2) "
+    "select doc_id, page, (590 + page % 3)::int as width, n as spans, c as confidence from p left join c using (doc_id, page)"
 )
 def ocr_pages(spark: SparkSession, base: str) -> DataFrame:
-    """Sizes of pages with the OCR spans on them and their confidences in sum."""
+    """Sizes of pages with the OCR spans on them and their least confidence."""
     b = _boxes(spark, base)
     p = b.groupBy("doc_id").agg(F.max("page").alias("pages")).select("doc_id", F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("page"))
     sizes = p.select("doc_id", "page", (590 + F.col("page") % 3).cast("int").alias("width"), F.lit(842).alias("height"))
-    return adapters.sized_pages(sizes, b.where("trim(text) != ''")).select("doc_id", "page", "width", "spans", F.round(F.col("confidence") * F.col("spans"), 2).alias("confidence"))
+    return adapters.sized_pages(sizes, b.where("trim(text) != ''")).select("doc_id", "page", "width", "spans", "confidence")
 
 
 @query(_B + "select box_id, coalesce(try_cast(case when box_id % 13 = 0 then 'n/a' when box_id % 17 = 0 then ' 41.5 ' else confidence::varchar end as double), -1) as confidence from b")
@@ -128,7 +128,7 @@ _OVERLAP = "(greatest(least(k.x + k.w, n.x + n.w) - greatest(k.x, n.x), 0) * gre
     + _SEEN.removeprefix("with ")
     + ", f as (select doc_id, page, format, content, rn, [struct_pack(seq := seq, x := x, y := y, w := w, h := h)] as kept, seq as owner, pass from r where rn = 1 union all "
     "select doc_id, page, format, content, n.rn, case when own is null then list_append(kept, struct_pack(seq := n.seq, x := n.x, y := n.y, w := n.w, h := n.h)) else kept end, coalesce(own, n.seq), n.pass from (select f.doc_id, f.page, f.format, f.content, f.kept, n, "
-    f"list_filter(f.kept, lambda k: (k.x is null and n.x is null) or coalesce({_OVERLAP} >= 0.45, false))[1].seq as own from f join r n on n.doc_id = f.doc_id and n.page = f.page and n.format = f.format and n.content = f.content and n.rn = f.rn + 1)) "
+    f"list_filter(f.kept, lambda k: (k.x is null and n.x is null) or (k.x is not null and n.x is not null and {_OVERLAP} >= 0.45))[1].seq as own from f join r n on n.doc_id = f.doc_id and n.page = f.page and n.format = f.format and n.content = f.content and n.rn = f.rn + 1)) "
     "select doc_id, page, format, content, owner as seq, count(*) as n, bool_or(pass = 'baseline') as baseline, row_number() over (partition by doc_id order by page, owner) as barcode_index from f group by doc_id, page, format, content, owner"
 )
 def physical_codes(spark: SparkSession, base: str) -> DataFrame:
