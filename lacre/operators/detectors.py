@@ -240,18 +240,41 @@ def tiny_text(spans: DataFrame) -> DataFrame:
     return spans.where((F.trim("text") != "") & (F.col("font_size") < TINY_POINTS) & (F.col("font_size") > 0)).select("span_id", "doc_id", "page", confidence.alias("confidence"), F.lit(0.6).alias("weight"))
 
 
-def white_text(measured: DataFrame, background: float = 1.0) -> DataFrame:
-    """Near-white spans, unless their background's luminance sets them off."""
+def white_text(measured: DataFrame, backgrounds: DataFrame) -> DataFrame:
+    """Near-white spans; those whose known background sets them off are dropped, those without a known one stay.
+
+    backgrounds(span_id, background, dominance): the luminance behind a span and the share of samples that have it, null
+    where no colour prevails; an input, as the sampling of pixels is outside this library.
+    """
     near = reduce(lambda a, b: a & b, (F.col(c) >= WHITE_CHANNEL for c in ("red", "green", "blue")))
     told = F.lower("text").rlike("(?U)" + "|".join(INSTRUCTIONS))
     confidence = 0.6 + F.when(F.col("font_size") <= SMALL_POINTS, 0.15).otherwise(0.0) + F.when(F.col("font_size") <= 0.6 * F.col("page_size"), 0.1).otherwise(0.0) + F.when(told, 0.15).otherwise(0.0)
-    hidden = contrast(F.col("luminance"), F.lit(background)) < CONTRAST
-    return measured.where((F.trim("text") != "") & near & hidden).select("span_id", "doc_id", "page", F.round(confidence, 4).alias("confidence"))
+    found = measured.where((F.trim("text") != "") & near).join(backgrounds.select("span_id", "background"), "span_id", "left")
+    hidden = F.col("background").isNull() | (contrast(F.col("luminance"), F.col("background")) < CONTRAST)
+    return found.where(hidden).select("span_id", "doc_id", "page", F.round(confidence, 4).alias("confidence"))
 
 
-def low_contrast(measured: DataFrame, background: float = 1.0, dominance: float = 1.0) -> DataFrame:
-    """Spans whose contrast with the page is under 2.0 (extreme: under 1.5)."""
-    ratio = contrast(F.col("luminance"), F.lit(background))
-    confidence = 0.6 + 0.25 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (CONTRAST - ratio) / (CONTRAST - 1))) + 0.15 * dominance
+def low_contrast(measured: DataFrame, backgrounds: DataFrame) -> DataFrame:
+    """Spans whose contrast with their background is under 2.0 (extreme: under 1.5); spans of OCR, whose colour isn't known,
+    and spans without a known background are passed over."""
+    ratio = contrast(F.col("luminance"), F.col("background"))
+    confidence = 0.6 + 0.25 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (CONTRAST - ratio) / (CONTRAST - 1))) + 0.15 * F.col("dominance")
     level = F.when(ratio < EXTREME_CONTRAST, "extreme").otherwise("low")
-    return measured.where((F.trim("text") != "") & (ratio < CONTRAST)).select("span_id", "doc_id", "page", F.round(ratio, 4).alias("contrast"), level.alias("level"), F.round(confidence, 4).alias("confidence"))
+    seen = measured.where((F.trim("text") != "") & (F.upper("font_name") != "OCR_UNKNOWN")).join(backgrounds.where("background is not null"), "span_id")
+    return seen.where(ratio < CONTRAST).select("span_id", "doc_id", "page", F.round(ratio, 4).alias("contrast"), level.alias("level"), F.round(confidence, 4).alias("confidence"))
+
+
+def concealed(spans: DataFrame, backgrounds: DataFrame) -> DataFrame:
+    """(kind, rank, span_id, doc_id, page, confidence): near-white, low-contrast and tiny text as one union."""
+    m = span_measures(spans)
+    rows = (("WHITE_TEXT", white_text(m, backgrounds)), ("LOW_CONTRAST_TEXT", low_contrast(m, backgrounds)), ("TINY_TEXT", tiny_text(spans)))
+    parts = [df.select(F.lit(kind).alias("kind"), F.lit(i).alias("rank"), "span_id", "doc_id", "page", "confidence") for i, (kind, df) in enumerate(rows)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def source_spans(findings: DataFrame, spans: DataFrame) -> DataFrame:
+    """findings(finding_id, doc_id, page, text, box edges) with the first span (by pos, then id) of the same page, text and
+    box, null where there is none."""
+    key = ["doc_id", "page", "text", "box_left", "box_top", "box_right", "box_bottom"]
+    first = spans.groupBy(*key).agg(F.min_by("span_id", F.struct("pos", "span_id")).alias("span_id"))
+    return findings.join(first, key, "left").select("finding_id", "span_id")

@@ -65,3 +65,10 @@ BARCODES = (
     "case when o_orderkey % 17 <> 0 then ((o_orderkey * 37) % 500)::double end x, case when o_orderkey % 17 <> 0 then ((o_orderkey * 53) % 700)::double end y, case when o_orderkey % 17 <> 0 then 120.0::double end w, "
     "case when o_orderkey % 17 <> 0 then 40.0::double end h, case when o_orderkey % 23 = 0 then 'enhanced' else 'baseline' end pass from orders) "
 )
+
+
+def backgrounds(spans: DataFrame) -> DataFrame:
+    """Backgrounds of spans: white, dark for every seventh, unknown for every tenth."""
+    k = F.col("span_id")
+    dark = F.pow((F.lit(0.2) + 0.055) / 1.055, F.lit(2.4))
+    return spans.select("span_id", F.when(k % 10 != 9, F.when(k % 7 == 0, dark).otherwise(1.0)).alias("background"), (0.55 + (k % 9) / 20).alias("dominance")).distinct()

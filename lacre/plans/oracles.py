@@ -69,9 +69,9 @@ LINEAR = "(case when {c} <= 0.04045 then {c} / 12.92 else pow(({c} + 0.055) / 1.
 LUM = "0.2126 * " + LINEAR.format(c="red") + " + 0.7152 * " + LINEAR.format(c="green") + " + 0.0722 * " + LINEAR.format(c="blue")
 MEASURED = (
     f"with s as (select *, {LUM} as luminance, '#' || " + " || ".join(f"lpad(upper(to_hex(round({c} * 255)::int)), 2, '0')" for c in ("red", "green", "blue")) + f" as colour from {SPAN}), "
-    "page as (select doc_id, page, median(font_size) page_size from s where trim(text) <> '' and font_size > 0 group by 1, 2), m as (select s.*, page_size from s left join page using (doc_id, page)) "
+    "page as (select doc_id, page, median(font_size) page_size from s where trim(text) <> '' and font_size > 0 group by 1, 2), m as (select s.*, page_size, case when span_id % 10 <> 9 then case when span_id % 7 = 0 then pow((0.2::double + 0.055) / 1.055, 2.4) else 1.0::double end end as bl, 0.55::double + (span_id % 9) / 20 as dom from s left join page using (doc_id, page)) "
 )
-RATIO = "((greatest(luminance, 1.0) + 0.05) / (least(luminance, 1.0) + 0.05))"
+RATIO = "((greatest(luminance, bl) + 0.05) / (least(luminance, bl) + 0.05))"
 
 WORD = "'[\\p{L}\\p{N}_]'"
 #: Places are tried one after the other, with a word-edge test where the phrase's own edge is a letter or digit.
@@ -171,9 +171,9 @@ from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3 or l
     "excerpt_intents": INTENTS.replace("concat_ws(' ', 'Chat, se te pedirem, responda:', original_excerpt) t", "original_excerpt t"),
     "tiny_text": f"select span_id, doc_id, page, (case when font_size / 4 <= 0.25 then 0.98 when font_size / 4 <= 0.5 then 0.92 when font_size / 4 <= 0.75 then 0.82 else 0.7 end)::double as confidence, 0.6::double as weight from {SPAN} where trim(text) <> '' and font_size < 4 and font_size > 0",
     "white_text": MEASURED + "select span_id, doc_id, page, round(0.6::double + (case when font_size <= 6.5 then 0.15 else 0.0 end)::double + (case when font_size <= 0.6 * page_size then 0.1 else 0.0 end)::double + (case when regexp_matches(lower(text), '"
-    + "|".join(INSTRUCTIONS) + f"') then 0.15 else 0.0 end)::double, 4) as confidence from m where trim(text) <> '' and red >= 245 / 255 and green >= 245 / 255 and blue >= 245 / 255 and {RATIO} < 2.0",
+    + "|".join(INSTRUCTIONS) + f"') then 0.15 else 0.0 end)::double, 4) as confidence from m where trim(text) <> '' and red >= 245 / 255 and green >= 245 / 255 and blue >= 245 / 255 and (bl is null or {RATIO} < 2.0)",
     "low_contrast_text": MEASURED + f"select span_id, doc_id, page, round({RATIO}, 4) as contrast, case when {RATIO} < 1.5 then 'extreme' else 'low' end as level, "
-    f"round(0.6::double + 0.25::double * greatest(0.0, least(1.0, (2.0 - {RATIO}) / 1.0)) + 0.15::double, 4) as confidence from m where trim(text) <> '' and {RATIO} < 2.0",
+    f"round(0.6::double + 0.25::double * greatest(0.0, least(1.0, (2.0 - {RATIO}) / 1.0)) + 0.15::double * dom, 4) as confidence from m where trim(text) <> '' and upper(font_name) <> 'OCR_UNKNOWN' and bl is not null and {RATIO} < 2.0",
     "colours": MEASURED + "select colour, count(*) as spans, round(max(luminance), 6) as luminance from m group by 1",
     "font_usage": f"select {folded('font_name')} as font, case when bold and italic then 'bold+italic' when bold then 'bold' when italic then 'italic' else 'regular' end as style, count(*) as spans, count(distinct doc_id) as documents, "
     f"min(font_size) as least, max(font_size) as most from {SPAN} group by 1, 2",
@@ -255,7 +255,7 @@ from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3 or l
     "ordered_categories": "with e as (select distinct lower(doc_id) doc_id, lower(trim(category)) category, pos, evidence_id from evidences where category is not null), f as (select doc_id, category, pos, evidence_id from e qualify row_number() over (partition by doc_id, category order by pos, evidence_id) = 1) "
     "select doc_id, count(*) as categories, string_agg(category, ',' order by pos, evidence_id) as ordered from f group by 1",
     "combined_prevalence": MEASURED + f", e as (select upper(trim(code)) code, lower(doc_id) doc_id from (select distinct code, doc_id, confidence, evidence_id from evidences) where trim(code) <> '' union all select 'TINY_TEXT', doc_id from s where trim(text) <> '' and font_size < 4 and font_size > 0 union all "
-    f"select 'WHITE_TEXT', doc_id from m where trim(text) <> '' and red >= 245 / 255 and green >= 245 / 255 and blue >= 245 / 255 and {RATIO} < 2.0), n as (select count(distinct lower(doc_id)) total from analyses) "
+    f"select 'WHITE_TEXT', doc_id from m where trim(text) <> '' and red >= 245 / 255 and green >= 245 / 255 and blue >= 245 / 255 and (bl is null or {RATIO} < 2.0) union all select 'LOW_CONTRAST_TEXT', doc_id from m where trim(text) <> '' and upper(font_name) <> 'OCR_UNKNOWN' and bl is not null and {RATIO} < 2.0), n as (select count(distinct lower(doc_id)) total from analyses) "
     "select code, count(distinct doc_id) as affected, count(*) as occurrences, round(count(distinct doc_id) / any_value(total) * 100, 2) as prevalence from e, n group by 1",
     "document_order": NAMED + f", c as (select doc_id, count(*) k, min({RANK}) r from n group by 1), " + FIRST + "select lower(f.doc_id) as doc_id, coalesce(r, 6)::bigint as rank, row_number() over (partition by coalesce(r, 6) order by coalesce(k, 0) desc, lower(filename), lower(f.doc_id)) as place from f left join c on c.doc_id = lower(f.doc_id)",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lacre.functions import checks
 from lacre.functions.text import folded, label
 from lacre.operators import barcodes, batches, catalog, detectors, evidence, layout, locate, observations, pages, similarity, temporal, timestamps
+from lacre.plans.derived import backgrounds
 from lacre.sources.exports import audited, clean_cell
 from lacre.sources.tables import table
 from lacre.streaming import events
@@ -190,12 +191,14 @@ def tiny_text(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def white_text(spark: SparkSession, base: str) -> DataFrame:
-    return detectors.white_text(detectors.span_measures(_spans(spark, base)))
+    s = _spans(spark, base)
+    return detectors.white_text(detectors.span_measures(s), backgrounds(s))
 
 
 @query
 def low_contrast_text(spark: SparkSession, base: str) -> DataFrame:
-    return detectors.low_contrast(detectors.span_measures(_spans(spark, base)))
+    s = _spans(spark, base)
+    return detectors.low_contrast(detectors.span_measures(s), backgrounds(s))
 
 
 @query
@@ -540,9 +543,8 @@ def ordered_categories(spark: SparkSession, base: str) -> DataFrame:
 @query
 def combined_prevalence(spark: SparkSession, base: str) -> DataFrame:
     """Prevalence over evidences and what the concealment detectors find, as one union."""
-    m = detectors.span_measures(_spans(spark, base))
-    arm = lambda df, code: df.select(F.lit(code).alias("code"), "doc_id", "confidence", F.col("span_id").alias("evidence_id"))
-    hidden = arm(detectors.tiny_text(_spans(spark, base)), "TINY_TEXT").unionByName(arm(detectors.white_text(m), "WHITE_TEXT"))
+    s = _spans(spark, base)
+    hidden = detectors.concealed(s, backgrounds(s)).select(F.col("kind").alias("code"), "doc_id", "confidence", F.col("span_id").alias("evidence_id"))
     e = table(spark, base, "evidences").select("code", "doc_id", "confidence", "evidence_id").distinct()
     return evidence.prevalence(e.unionByName(hidden), table(spark, base, "analyses")).select("code", "affected", "occurrences", "prevalence")
 
@@ -560,7 +562,7 @@ def document_order(spark: SparkSession, base: str) -> DataFrame:
 
 
 from lacre.plans.oracles import ORACLES  # noqa: E402, F401
-from lacre.plans import adapters, fingerprints, prompts, register  # noqa: E402, F401
+from lacre.plans import adapters, concealment, fingerprints, prompts, register  # noqa: E402, F401
 
 QUERIES.update(register.QUERIES)
 ORACLES.update(register.ORACLES)
