@@ -108,7 +108,8 @@ PLACED = (
 DATED = "with d as (select distinct * from dates), t as (select lower(doc_id) doc_id, lower(source) source, date_value v, metadata_field f from d where date_value is not null), "
 LINES_OF_TIME = (
     DATED + "tl as (select doc_id, count(*) as dates, count(distinct v) as days, min(v) as first, max(v) as last, min(v) filter (source in ('native_text', 'ocr')) as first_content, "
-    "max(v) filter (source in ('native_text', 'ocr')) as last_content, min(v) filter (f = 'creationDate') as created, min(v) filter (f = 'modDate') as modified from t group by 1) "
+    "max(v) filter (source in ('native_text', 'ocr')) as last_content, min(v) filter (f = 'creationDate') as created, min(v) filter (f = 'modDate') as modified, "
+    "(select max(abs(date_diff('day', m.v, k.v))) from t m join t k on m.doc_id = k.doc_id where m.doc_id = t.doc_id and m.source = 'pdf_metadata' and k.source in ('native_text', 'ocr'))::bigint as divergence from t group by 1) "
 )
 STATE = (
     "with b as (select distinct * replace (lower(doc_id) as doc_id, lower(status) as status) from batch_documents), s as (select batch_id, doc_id, status, analysis_id from b "
@@ -199,7 +200,7 @@ from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3 or l
     "temporal_anomalies": LINES_OF_TIME + "select doc_id, 'METADATA_ORDER' as code, 'HIGH' as severity, date_diff('day', modified, created)::bigint as days from tl where modified < created union all "
     "select doc_id, 'FUTURE_DATE', 'MEDIUM', date_diff('day', date '2026-01-31', last) from tl where last > date '2026-01-31' union all "
     "select doc_id, 'WIDE_RANGE', 'LOW', date_diff('day', first, last) from tl where date_diff('day', first, last) > 3650 union all "
-    "select doc_id, 'METADATA_DIVERGENCE', 'MEDIUM', abs(date_diff('day', created, last_content)) from tl where abs(date_diff('day', created, last_content)) > 3650",
+    "select doc_id, 'METADATA_DIVERGENCE', 'MEDIUM', divergence from tl where divergence > 3650",
     "dates_in_texts": "with r as (select doc_id, unnest(regexp_extract_all(text, '\\b(\\d{2}[/.-]\\d{2}[/.-]\\d{4})\\b', 1)) raw from documents), v as (select doc_id, raw, try_cast(substr(raw, 7, 4) || '-' || substr(raw, 4, 2) || '-' || substr(raw, 1, 2) as date) v from r where substr(raw, 3, 1) = substr(raw, 6, 1)) "
     "select doc_id, count(*) as dates, count(distinct v) as days, min(v) as first, max(v) as last from v where v is not null group by 1",
     "batch_progress": STATE + ", g as (select batch_id, count(*) total, " + ", ".join(f"sum((status = '{s}')::int)::bigint {s}" for s in ("pending", "processing", "completed", "failed")) + " from s group by 1) "

@@ -562,7 +562,7 @@ def document_order(spark: SparkSession, base: str) -> DataFrame:
 
 
 from lacre.plans.oracles import ORACLES  # noqa: E402, F401
-from lacre.plans import adapters, concealment, fingerprints, prompts, register, sheets  # noqa: E402, F401
+from lacre.plans import adapters, concealment, fingerprints, prompts, register, sheets, times  # noqa: E402, F401
 
 QUERIES.update(register.QUERIES)
 ORACLES.update(register.ORACLES)
