@@ -118,7 +118,7 @@ STATE = (
 FIRST = "f as (select a.* from analyses a join (select lower(doc_id) k, min(pos) pos from analyses group by 1) using (pos)) "
 NAMED = f"with u as (select distinct on (finding_id) * from findings), n as (select finding_id, upper(trim(code)) code, severity, unnest(list_distinct(list_filter(list_transform(doc_ids, lambda x: {UUID}), lambda x: x is not null))) doc_id from u) "
 CATALOG = (
-    "with a as (select distinct on (lower(doc_id)) lower(doc_id) doc_id, regexp_extract(lower(sha256), '([0-9a-f]{64})', 1) sha, coalesce(native_text, ocr_text) t from analyses where doc_id is not null), "
+    "with a as (select lower(doc_id) doc_id, regexp_extract(lower(sha256), '([0-9a-f]{64})', 1) sha, coalesce(case when trim(native_text) <> '' then native_text end, ocr_text) t from analyses where doc_id is not null qualify row_number() over (partition by lower(doc_id) order by pos) = 1), "
     "s as (select distinct * replace (lower(doc_id) as doc_id) from spans), b as (select distinct * replace (lower(doc_id) as doc_id) from boxes), "
     "c as (select doc_id, 'document' element_type, null::varchar subtype, doc_id as value, 'source' as layer from a union all select doc_id, 'hash', 'sha256', sha, 'source' from a where sha <> '' union all "
     "select doc_id, 'text', 'content', md5(t), 'extracted' from a where t is not null union all select doc_id, 'text', 'span', text, 'extracted' from s union all select doc_id, 'text', 'box', text, 'extracted' from b where text is not null) "
@@ -210,7 +210,7 @@ from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3 or l
     "analysis_overview": "with " + FIRST + "select lower(status) as status, lower(mime_type) as mime_type, count(*) as documents, sum(size_bytes)::bigint as bytes, sum((coalesce(length(native_text), 0) > 0)::int)::bigint as with_native_text, "
     "sum((coalesce(length(ocr_text), 0) > 0)::int)::bigint as with_ocr_text from f group by 1, 2",
     "catalog_totals": CATALOG + "select element_type, subtype, layer, count(*) as elements, count(distinct doc_id) as documents, grouping(element_type, subtype, layer)::bigint as level from c group by grouping sets ((element_type), (element_type, subtype), (layer), ())",
-    "catalog_orphans": CATALOG + "select doc_id, count(*) as elements from c where element_type = 'text' and subtype in ('span', 'box') and doc_id not in (select doc_id from a) group by 1",
+    "catalog_orphans": CATALOG + "select doc_id, count(*) as elements from c where element_type <> 'document' and (doc_id not in (select doc_id from a) or doc_id like 'a%') group by 1",
     "catalog_lookup": CATALOG + "select element_type, subtype, lower(trim(value)) as value, count(*) as elements from c where lower(trim(value)) in (select lower(trim(upper(phrase))) from phrases) group by 1, 2, 3",
     "phrase_places": HITS + ", s as (select distinct span_id, lower(doc_id) doc_id, page, pos from spans), j as (select * from hits join s using (span_id)) select doc_id, phrase_id, page, pos, span_id, (count(*) over (partition by doc_id, phrase_id))::bigint as spans from j "
     "qualify row_number() over (partition by doc_id, phrase_id order by page, pos, span_id) = 1",
