@@ -1,4 +1,4 @@
-"""Streams: windowed counts with late data, states of batches, and new evidence against what is stored."""
+"""Streams: windowed counts with late data, changes of batches' states, and finished rows appended to a folder."""
 
 from __future__ import annotations
 
@@ -28,32 +28,39 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "30 minutes
     return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def batch_states(updates: DataFrame) -> DataFrame:
-    """updates(batch_id, doc_id, status, event_ts) as a stream -> the batch's counts after every micro-batch.
+def state_changes(updates: DataFrame) -> DataFrame:
+    """updates(batch_id, doc_id, status, event_ts) as a stream -> (batch_id, status, change): by how much a batch's count of a
+    status changes.
 
-    The state holds the last status of each document of a batch; an update older than the one held is ignored.
+    The state is one row for each document of a batch (its last time and status), so it never grows with a batch; an update
+    older than the one held is ignored. A batch's counts are the sum of its changes (see batch_counts).
     """
 
     def step(key: tuple, frames: Iterator, state) -> Iterator:  # noqa: ANN001
         import pandas as pd
 
-        held = dict(zip(*state.get, strict=True)) if state.exists else {}
-        seen = {k: (v.split("|", 1)[0], v.split("|", 1)[1]) for k, v in held.items()}
+        at, held = state.get if state.exists else ("", None)
+        before = held
         for frame in frames:
-            for doc, status, ts in zip(frame["doc_id"], frame["status"], frame["event_ts"], strict=True):
-                at = "" if pd.isna(ts) else pd.Timestamp(ts).isoformat()
-                if str(doc).lower() not in seen or at >= seen[str(doc).lower()][0]:
-                    seen[str(doc).lower()] = (at, str(status).lower())
-        state.update((list(seen), [f"{a}|{s}" for a, s in seen.values()]))
-        of = [s for _, s in seen.values()]
-        n = {s: of.count(s) for s in ("pending", "processing", "completed", "failed")}
-        yield pd.DataFrame([(key[0], len(of), *n.values())], columns=["batch_id", "total", *n])
-
-    return updates.groupBy("batch_id").applyInPandasWithState(
-        step, "batch_id string, total long, pending long, processing long, completed long, failed long", "docs array<string>, states array<string>", "update", "NoTimeout"
+            for status, ts in zip(frame["status"], frame["event_ts"], strict=True):
+                t = "" if pd.isna(ts) else pd.Timestamp(ts).isoformat()
+                if held is None or t >= at:
+                    at, held = t, str(status).lower()
+        state.update((at, held))
+        rows = [] if held == before else [(key[0], held, 1)] + ([(key[0], before, -1)] if before is not None else [])
+        yield pd.DataFrame(rows, columns=["batch_id", "status", "change"])
+
+    return updates.withColumn("doc_id", F.lower("doc_id")).groupBy("batch_id", "doc_id").applyInPandasWithState(
+        step, "batch_id string, status string, change long", "at string, status string", "append", "NoTimeout"
     )
 
 
+def batch_counts(changes: DataFrame) -> DataFrame:
+    """(batch_id, total, pending, processing, completed, failed) from the changes written so far."""
+    n = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("change"))), F.lit(0)).alias(s)
+    return changes.groupBy("batch_id").agg(F.sum("change").alias("total"), *(n(s) for s in ("pending", "processing", "completed", "failed")))
+
+
 def append_stream(df: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Write a stream's finished rows to a folder, once, for what is there now."""
     return df.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

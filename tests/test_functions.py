@@ -154,7 +154,7 @@ def test_rows_and_columns(spark):
 def test_sheets(spark, tmp_path):
     assert one(spark, clean_cell, "=1+1\x07") == "'=1+1"
     df = spark.createDataFrame([("a\x00b", ["x"], 1)], "t string, l array<string>, n long")
-    assert tuple(as_sheet(df).head()) == ("ab", '["x"]', 1)
+    assert tuple(as_sheet(df).head()) == ("a\\x00b", '["x"]', 1)
     assert write_sheets({"one": df, "none": df.where("false")}, str(tmp_path)) == {"one": 1, "none": 0}
     assert spark.read.parquet(f"{tmp_path}/one").count() == 1
 
@@ -176,6 +176,11 @@ def test_batch_states(spark, tmp_path):
     df = spark.createDataFrame(rows, "batch_id string, doc_id string, status string, s long").selectExpr("batch_id", "doc_id", "status", "timestamp_seconds(s) as event_ts")
     df.write.parquet(f"{tmp_path}/in")
     stream = events.read(spark, f"{tmp_path}/in", "batch_id string, doc_id string, status string, event_ts timestamp")
-    q = events.batch_states(stream).writeStream.format("memory").queryName("b").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q = events.append_stream(events.state_changes(stream), f"{tmp_path}/out", f"{tmp_path}/c")
     q.awaitTermination()
-    assert {tuple(r) for r in spark.table("b").collect()} == {("b", 2, 0, 0, 1, 1), ("c", 1, 1, 0, 0, 0)}
+    counts = events.batch_counts(spark.read.parquet(f"{tmp_path}/out"))
+    assert {tuple(r) for r in counts.collect()} == {("b", 2, 0, 0, 1, 1), ("c", 1, 1, 0, 0, 0)}
+    late = [("b", "Y", "completed", 5), ("b", "x", "pending", 1)]
+    spark.createDataFrame(late, "batch_id string, doc_id string, status string, s long").selectExpr("batch_id", "doc_id", "status", "timestamp_seconds(s) as event_ts").write.mode("append").parquet(f"{tmp_path}/in")
+    events.append_stream(events.state_changes(stream), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    assert {tuple(r) for r in events.batch_counts(spark.read.parquet(f"{tmp_path}/out")).collect()} == {("b", 2, 0, 0, 2, 0), ("c", 1, 1, 0, 0, 0)}
