@@ -10,7 +10,7 @@ from lacre.operators import batches, money, rows
 from lacre.plans import oracles
 from lacre.plans.register import query
 from lacre.plans.rows import recursive
-from lacre.sources.tables import table
+from lacre.sources.tables import table, written
 
 def _field(tag: str, c: Column) -> Column:
     return F.concat(F.lit(tag), F.lpad(F.length(c).cast("string"), 2, "0"), c)
@@ -198,12 +198,12 @@ _RESULT = (
 @query(_RESULT + "select * from rs")
 def reconciliation(spark: SparkSession, base: str) -> DataFrame:
     """The reconciliation of each document."""
-    return money.reconciled(_values(spark, base))
+    return money.reconciled(written(_values(spark, base), "payment-values"))
 
 
 @query(_RESULT + "select doc_id, 'status' as record_type, status as content, null::double as amount from rs union all select va.doc_id, 'value', source || ':' || page, amount::double from va")
 def sheet_reconciliation(spark: SparkSession, base: str) -> DataFrame:
     """A report's rows of reconciliation: the status of each document, then its values."""
-    v = _values(spark, base)
+    v = written(_values(spark, base), "payment-values")
     s = money.reconciled(v).select("doc_id", F.lit("status").alias("record_type"), F.col("status").alias("content"), F.lit(None).cast("double").alias("amount"))
     return s.unionByName(v.where("amount is not null").select("doc_id", F.lit("value").alias("record_type"), F.concat_ws(":", "source", "page").alias("content"), F.col("amount").cast("double").alias("amount")))
