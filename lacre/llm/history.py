@@ -13,8 +13,12 @@ member meets all others of the bucket that arrived before the earliest class it
 there is none), in blocks of BLOCK by BLOCK members by whole fingerprints, so nothing is dropped and no task is large;
 members that repeat one of the earliest have nothing left to meet.
 
-History grows by appending: a new batch's keys are looked up in the stored tables, and its own are added; what was
-accepted before isn't fingerprinted again (HistoryStore).
+Tables find a pair by chance (see the README); what they miss is mostly far apart but has a text between: what a text's own
+repeats repeat, and that arrived before all it is known to repeat, is compared with it too.
+
+History grows by appending (HistoryStore): a new batch's keys are looked up in the stored tables, and its own are added; what
+was accepted before isn't fingerprinted again, and of its texts only the candidates' are read. found() is a store's first
+batch without the writing.
 
 Defined results: null or blank texts repeat nothing by text, null or malformed digests and sizes of zero nothing by
 digest; documents without any event_ts have no arrival and take no part; of rows with one doc_id (in any letter case)
@@ -29,7 +33,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ TABLES = BLOCKS * len(DISTANCES)
 #: and of 1,280 fingerprint bits (texts that share 0.6 of their words differ in about 256).
 MAX_SKETCH, MAX_BITS = 40, 330
 BUCKET, HEADS, BLOCK = 500, 4, 2000
-#: Shared keys up to which they are broadcast (16 bytes each); above that they are joined by shuffle.
+#: Shared keys, and ids of candidates, up to which they are broadcast (16 to 60 bytes each); above, joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Share of the longer text's words in the same order.
 SIMILARITY = 0.75
@@ -140,6 +143,11 @@ def entries(classes: DataFrame, *kept: str) -> DataFrame:
     return classes.where("print is not null").select("c", *kept, F.explode(F.array(*keys)).alias("key")).select("key", "c", *kept)
 
 
+def sketched(a0: str, a1: str, b0: str, b1: str) -> Column:
+    """Whether two sketches differ little."""
+    return F.bit_count(F.col(a0).bitwiseXOR(F.col(b0))) + F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) <= MAX_SKETCH
+
+
 def _pairs_within(lists: DataFrame) -> DataFrame:
     """(cs) -> (a, b) of each two members (c, s0, s1) of a list of bounded length whose sketches differ little."""
     pairs = F.expr(
@@ -156,12 +164,13 @@ def candidates(prints: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFr
     size = written(size, "sizes")
     shared = written(entries(prints, "s0", "s1").join(F.broadcast(size) if size.count() <= BROADCAST_KEYS else size, "key"), "shared-keys")
     small = shared.where(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list(F.struct("c", "s0", "s1")).alias("cs"))
-    big = written(shared.where(F.col("n") > BUCKET).select("key", "n", "c").distinct().join(classes.select("c", "first"), "c"), "large")
+    big = written(shared.where(F.col("n") > BUCKET).select("key", "n", "c", "s0", "s1").distinct().join(classes.select("c", "first"), "c"), "large")
     order = Window.partitionBy("key").orderBy("first")
-    heads = big.select("key", "first", F.col("c").alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= HEADS)
-    heads = written(heads.select("key", "h", "first"), "heads")
-    led = big.join(heads.select("key", "h"), "key").where("c != h").select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b"))
-    return _pairs_within(small).unionByName(led).distinct(), big.join(heads.groupBy("key").agg(F.max("first").alias("bound")), "key")
+    heads = big.select("key", "first", F.col("c").alias("h"), F.col("s0").alias("h0"), F.col("s1").alias("h1")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= HEADS)
+    heads = written(heads.select("key", "h", "h0", "h1", "first"), "heads")
+    led = big.join(heads.select("key", "h", "h0", "h1"), "key").where((F.col("c") != F.col("h")) & sketched("s0", "s1", "h0", "h1"))
+    led = led.select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b"))
+    return _pairs_within(small).unionByName(led).distinct(), big.drop("s0", "s1").join(heads.groupBy("key").agg(F.max("first").alias("bound")), "key")
 
 
 def earlier(big: DataFrame, links: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
@@ -199,8 +208,12 @@ def near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) of ids whose texts repeat each other; texts(id, text) is shuffled once for both sides."""
+    """Pairs (a, b, ...) of ids whose texts repeat each other. Where the ids of the pairs are few enough to be broadcast, only
+    their texts are shuffled, else texts(id, text) as a whole."""
     t = texts.select("id", "text")
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    if needed.count() <= BROADCAST_KEYS:
+        t = t.join(F.broadcast(needed), "id", "left_semi")
     both = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     kind = texts.schema["id"].dataType.simpleString()
 
@@ -260,81 +273,149 @@ def arrivals(batch_documents: DataFrame) -> DataFrame:
     return batch_documents.where("event_ts is not null").groupBy(F.lower(F.trim("doc_id")).alias("doc_id")).agg(F.min("event_ts").alias("ts"))
 
 
-def found(analyses: DataFrame, batch_documents: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b): every document with the earliest arrived one that it repeats, the smaller id first."""
-    docs = written(documents(analyses), "prints")
-    one = docs.groupBy("doc_id").agg(F.min_by(F.struct("sha", "c"), "pos").alias("x")).select("doc_id", "x.sha", "x.c")
-    light = written(one.join(arrivals(batch_documents), "doc_id").withColumn("me", F.struct("ts", "doc_id")), "arrived")
-    classes = light.where("c is not null").groupBy("c").agg(F.min("me").alias("first"))
-    prints = docs.where("c is not null").select("c", "print", "s0", "s1").dropDuplicates(["c"])
-    texts = analyses.select(F.lower(F.trim("doc_id")).alias("id"), text_of().alias("text"))
+def beyond(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """links(c, other) in both directions -> pairs (a, b): each class with what its links are linked to, where that arrived
+    before the class and before all it is linked to itself."""
+    f = classes.select("c", "first")
+    mine = f.join(nearest(links, classes), "c").select("c", F.least("first", "near").alias("limit"))
+    hop = links.join(mine, "c").select("c", "limit", F.col("other").alias("m"))
+    far = links.select(F.col("c").alias("m"), F.col("other").alias("o")).join(f.select(F.col("c").alias("o"), F.col("first").alias("of")), "o")
+    met = hop.join(far, "m").where((F.col("of") < F.col("limit")) & (F.col("o") != F.col("c")))
+    return met.select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct()
+
+
+def links_within(prints: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(c, other) in both directions of classes that repeat each other; classes(c, first), texts(id, text) by document."""
     pairs, big = candidates(prints, classes)
 
     def linked(candidate: DataFrame) -> DataFrame:
-        """(c, other) in both directions, for pairs of classes whose first documents repeat each other."""
         first = lambda side: classes.select(F.col("c").alias(side), F.col("first.doc_id").alias(f"{side}_doc"))
         ids = near(candidate, prints).join(first("a"), "a").join(first("b"), "b")
         ids = written(ids.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("a_doc").alias("a"), F.col("b_doc").alias("b")), "candidates")
-        good = written(ids.join(verified(ids.select("a", "b"), texts), ["a", "b"]).select("ca", "cb"), "links")
-        return good.select(F.col("ca").alias("c"), F.col("cb").alias("other")).unionByName(good.select(F.col("cb").alias("c"), F.col("ca").alias("other")))
+        return both_ways(written(ids.join(verified(ids.select("a", "b"), texts), ["a", "b"]).select("ca", "cb"), "links"))
 
     links = linked(pairs)
     if not big.isEmpty():
         links = links.unionByName(linked(earlier(big, links, classes, prints)))
+    more = written(beyond(links, classes), "beyond")
+    return links if more.isEmpty() else links.unionByName(linked(more))
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """(ca, cb) -> (c, other) in both directions."""
+    return pairs.select(F.col("ca").alias("c"), F.col("cb").alias("other")).unionByName(pairs.select(F.col("cb").alias("c"), F.col("ca").alias("other")))
+
+
+def prepared(analyses: DataFrame, batch_documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """light (doc_id, sha, c, ts, me) of arrived documents, their classes (c, first), prints (c, print, s0, s1), and texts."""
+    docs = written(documents(analyses), "prints")
+    one = docs.groupBy("doc_id").agg(F.min_by(F.struct("sha", "c"), "pos").alias("x")).select("doc_id", "x.sha", "x.c")
+    light = written(one.join(arrivals(batch_documents), "doc_id").withColumn("me", F.struct("ts", "doc_id")), "arrived")
+    prints = docs.where("c is not null").select("c", "print", "s0", "s1").dropDuplicates(["c"])
+    texts = analyses.select(F.lower(F.trim("doc_id")).alias("id"), text_of().alias("text"))
+    return light, first_of(light), prints, texts
+
+
+def first_of(light: DataFrame) -> DataFrame:
+    return light.where("c is not null").groupBy("c").agg(F.min("me").alias("first"))
+
+
+def resolved(light: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id_a, doc_id_b): every document of light with the earliest one that it repeats by links or digest."""
+    classes = first_of(light)
     by_text = classes.join(nearest(links, classes), "c", "left").select("c", F.least("first", F.coalesce("near", "first")).alias("by_text"))
     by_sha = light.where("sha is not null").groupBy("sha").agg(F.min("me").alias("by_sha"), F.count("*").alias("n")).where("n > 1").drop("n")
     d = light.join(by_text, "c", "left").join(by_sha, "sha", "left")
     d = d.withColumn("before", F.least("by_text", "by_sha")).where("before.ts < ts and before.doc_id != doc_id")
-    return d.select(F.least("doc_id", "before.doc_id").alias("doc_id_a"), F.greatest("doc_id", "before.doc_id").alias("doc_id_b")).distinct()
+    return d.select("doc_id", F.least("doc_id", "before.doc_id").alias("doc_id_a"), F.greatest("doc_id", "before.doc_id").alias("doc_id_b"))
+
+
+def found(analyses: DataFrame, batch_documents: DataFrame) -> DataFrame:
+    """(doc_id_a, doc_id_b): every document with the earliest arrived one that it repeats, the smaller id first."""
+    light, classes, prints, texts = prepared(analyses, batch_documents)
+    return resolved(light, links_within(prints, classes, texts)).select("doc_id_a", "doc_id_b").distinct()
 
 
 class HistoryStore:
-    """Accepted classes with their fingerprints, texts and table keys, appended batch by batch under one shared folder."""
-
-    SCHEMA = "c long, print binary, text string"
-
-    def __init__(self, folder: str) -> None:
-        self.keys, self.classes = f"{folder.rstrip('/')}/keys", f"{folder.rstrip('/')}/classes"
-
-    def _stored(self, spark: SparkSession) -> DataFrame | None:
-        try:
-            return spark.read.schema(self.SCHEMA).parquet(self.classes)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-
-    @staticmethod
-    def prepared(batch: DataFrame) -> DataFrame:
-        """batch(text) -> (c, print, text), each class once."""
-        return written(fingerprinted(batch.withColumn("kept", F.col("text")), "kept").withColumnRenamed("kept", "text").where("c is not null").dropDuplicates(["c"]).select("c", "print", "text"), "batch")
-
-    def check(self, mine: DataFrame) -> DataFrame:
-        """mine: see prepared() -> (c, other): the accepted classes that each class of the batch repeats, and the classes of
-        the batch itself with a lower hash (a batch has no order of arrival), so of two that repeat each other one remains.
-
-        Only the batch is fingerprinted; its keys meet the stored ones in an equi-join, and texts are read for the
-        candidates alone. Equal texts are the same class (c = other).
-        """
-        spark = mine.sparkSession
-        stored = self._stored(spark)
-        own = entries(mine)
-        met = own.join(own.withColumnRenamed("c", "other"), "key").where("c > other").select("c", "other")
-        both = mine
-        if stored is not None:
-            kept = spark.read.schema("key long, c long").parquet(self.keys).withColumnRenamed("c", "other")
-            met = met.unionByName(own.join(kept, "key").where("c != other").select("c", "other"))
-            both = mine.unionByName(stored).dropDuplicates(["c"])
-        pairs = near(met.distinct().select(F.col("c").alias("a"), F.col("other").alias("b")), both.select("c", "print"))
-        good = verified(pairs, both.select(F.col("c").alias("id"), "text")).select(F.col("a").alias("c"), F.col("b").alias("other"))
-        if stored is None:
-            return good
-        same = mine.join(stored.select("c"), "c", "left_semi").select("c", F.col("c").alias("other"))
-        return good.unionByName(same).distinct()
-
-    def append(self, mine: DataFrame) -> None:
-        """Adds the classes of the batch that aren't stored yet."""
-        stored = self._stored(mine.sparkSession)
-        new = mine if stored is None else written(mine.join(stored.select("c"), "c", "left_anti"), "new")
-        new.write.mode("append").parquet(self.classes)
-        entries(new).write.mode("append").parquet(self.keys)
+    """Accepted documents, classes with fingerprint and text, and table keys with sketches, appended batch by batch.
+
+    A batch is a sub-folder of each table and counts once its marker is there, so a batch that broke off leaves nothing that
+    is read. Looking up reads the stored keys (24 bytes each) and documents' ids; of fingerprints and texts only those of
+    candidates. A batch's keys are broadcast where they are few, so the stored ones aren't shuffled.
+    """
+
+    TABLES = {
+        "documents": "doc_id string, sha string, c long, ts timestamp", "keys": "key long, o long, o0 long, o1 long", "classes": "c long, print binary, text string, doc_id string",
+    }
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def batches(self) -> list[str]:
+        """Names of the finished batches."""
+        root = self._path(f"{self.folder}/finished")
+        return sorted(str(f.getPath().getName()) for f in self._files.listStatus(root)) if self._files.exists(root) else []
+
+    def stored(self, name: str) -> DataFrame:
+        done = self.batches()
+        if not done:
+            return self.spark.createDataFrame([], self.TABLES[name])
+        return self.spark.read.schema(self.TABLES[name]).parquet(*(f"{self.folder}/{name}/{b}" for b in done))
+
+    def check(self, light: DataFrame, classes: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
+        """A prepared() batch -> (doc_id, doc_id_a, doc_id_b): each of its documents with the earliest one, stored or of the
+        batch, that it repeats. What was found for stored documents isn't looked at again, also if the batch holds one that
+        arrived before them."""
+        links = links_within(prints, classes, texts)
+        if self.batches():
+            links = links.unionByName(self._links(classes, prints, texts))
+        links = written(links, "batch-links")
+        old = self.stored("documents")
+        partners = links.select(F.col("other").alias("c")).union(light.where("c is not null").select("c")).distinct()
+        by_class = old.join(self._few(partners), "c", "left_semi")
+        by_sha = old.join(self._few(light.where("sha is not null").select("sha").distinct()), "sha", "left_semi")
+        known = by_class.unionByName(by_sha).distinct().withColumn("me", F.struct("ts", "doc_id")).join(self._few(light.select("doc_id")), "doc_id", "left_anti")
+        every = written(light.select("doc_id", "sha", "c", "ts", "me").unionByName(known.select("doc_id", "sha", "c", "ts", "me")), "batch-and-partners")
+        return resolved(every, links).join(light.select("doc_id"), "doc_id", "left_semi").distinct()
+
+    def append(self, light: DataFrame, prints: DataFrame, texts: DataFrame) -> None:
+        """Accepts a batch: its documents, and the classes that aren't stored yet."""
+        import uuid
+
+        name = f"{len(self.batches()):08d}-{uuid.uuid4().hex}"
+        classes = first_of(light)
+        new = prints.join(classes, "c").select("c", "print", "s0", "s1", F.col("first.doc_id").alias("doc_id")).join(self.stored("documents").select("c").distinct(), "c", "left_anti")
+        t = texts.groupBy(F.col("id").alias("doc_id")).agg(F.min("text").alias("text"))
+        new = written(new.join(t, "doc_id"), "new-classes")
+        light.select("doc_id", "sha", "c", "ts").write.parquet(f"{self.folder}/documents/{name}")
+        new.select("c", "print", "text", "doc_id").write.parquet(f"{self.folder}/classes/{name}")
+        keys = entries(new.select("c", "print", "s0", "s1"), "s0", "s1")
+        keys.select("key", F.col("c").alias("o"), F.col("s0").alias("o0"), F.col("s1").alias("o1")).write.parquet(f"{self.folder}/keys/{name}")
+        self._files.mkdirs(self._path(f"{self.folder}/finished/{name}"))
+
+    def add(self, analyses: DataFrame, batch_documents: DataFrame) -> DataFrame:
+        """check() and append() of one batch: (doc_id_a, doc_id_b) of its documents."""
+        light, classes, prints, texts = prepared(analyses, batch_documents)
+        got = written(self.check(light, classes, prints, texts).select("doc_id_a", "doc_id_b").distinct(), "batch-found")
+        self.append(light, prints, texts)
+        return got
+
+    def _few(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+    def _links(self, classes: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
+        """(c, other) of the batch's classes with stored ones that they repeat, in both directions."""
+        own = written(entries(prints.join(classes.select("c"), "c", "left_semi"), "s0", "s1"), "batch-keys")
+        met = self.stored("keys").join(self._few(own), "key").where((F.col("c") != F.col("o")) & sketched("s0", "s1", "o0", "o1")).select("c", "o").distinct()
+        met = written(met, "met")
+        kept = self.stored("classes").join(self._few(met.select(F.col("o").alias("c")).distinct()), "c", "left_semi").select("c", "print", "text", "doc_id")
+        kept = written(kept, "met-classes")
+        w = prints.select("c", words64().alias("wa"))
+        close = met.join(w, "c").join(kept.select(F.col("c").alias("o"), words64().alias("wb")), "o").where(differing("wa", "wb") <= MAX_BITS)
+        pairs = close.join(classes.select("c", F.col("first.doc_id").alias("a")), "c").join(kept.select(F.col("c").alias("o"), F.concat(F.lit("stored "), "doc_id").alias("b")), "o").select("c", "o", "a", "b")
+        pairs = written(pairs, "stored-candidates")
+        both = texts.select("id", "text").unionByName(kept.select(F.concat(F.lit("stored "), "doc_id").alias("id"), "text"))
+        good = pairs.join(verified(pairs.select("a", "b"), both), ["a", "b"]).select(F.col("c").alias("ca"), F.col("o").alias("cb"))
+        return both_ways(good)
