@@ -137,8 +137,7 @@ class Fingerprints:
 def entries(classes: DataFrame, *kept: str) -> DataFrame:
     """(c, print, kept ...) -> (key, c, kept ...): the places of each class in the rotated tables; two blocks of a rotation
     are the key."""
-    width = LANES // BLOCKS
-    block = lambda i: F.substring("print", width * (i % BLOCKS) + 1, width)
+    block = lambda i: F.col("print")[i % BLOCKS]
     keys = [F.xxhash64(F.lit(100 * d + i), block(i), block(i + d)) for d in DISTANCES for i in range(BLOCKS)]
     return classes.where("print is not null").select("c", *kept, F.explode(F.array(*keys)).alias("key")).select("key", "c", *kept)
 
@@ -178,7 +177,7 @@ def earlier(big: DataFrame, links: DataFrame, classes: DataFrame, prints: DataFr
     heads apart, that arrived before all that it is linked to, if their fingerprints differ in MAX_BITS bits at most."""
     salts = F.ceil(F.col("n") / BLOCK).cast("int")
     mine, all_of = F.pmod(F.xxhash64("c"), salts).cast("int"), F.explode(F.sequence(F.lit(0), salts - 1))
-    big = big.join(prints.select("c", words64().alias("w")), "c")
+    big = big.join(prints.select("c", F.col("print").alias("w")), "c")
     left = big.join(nearest(links, classes), "c", "left").withColumn("limit", F.least("first", F.coalesce("near", "first"))).where("limit > bound")
     left = left.select("key", "c", "limit", "w", mine.alias("i"), all_of.alias("j"))
     right = big.where("first > bound").select("key", F.col("c").alias("o"), F.col("first").alias("of"), F.col("w").alias("wo"), mine.alias("j"), all_of.alias("i"))
@@ -191,18 +190,14 @@ def nearest(links: DataFrame, classes: DataFrame) -> DataFrame:
     return links.join(classes.select(F.col("c").alias("other"), "first"), "other").groupBy("c").agg(F.min("first").alias("near"))
 
 
-def words64() -> Column:
-    """The fingerprint as longs."""
-    return F.array(*(F.conv(F.hex(F.substring("print", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(LANES // 8)))
-
-
 def differing(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LANES // 8)), F.lit(0))
+    """Bits in which two fingerprints differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BLOCKS)), F.lit(0))
 
 
 def near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """Pairs whose fingerprints differ in MAX_BITS bits at most; prints(c, print)."""
-    p = prints.select("c", words64().alias("w"))
+    p = prints.select("c", F.col("print").alias("w"))
     both = pairs.join(p.select(F.col("c").alias("a"), F.col("w").alias("wa")), "a").join(p.select(F.col("c").alias("b"), F.col("w").alias("wb")), "b")
     return both.where(differing("wa", "wb") <= MAX_BITS).select("a", "b")
 
@@ -239,7 +234,7 @@ def text_of() -> Column:
 
 def fingerprinted(texts: DataFrame, *kept: str) -> DataFrame:
     """(text, kept ...) -> (kept ..., c, print, s0, s1): the 64-bit hash of the folded text, its fingerprint and the lowest
-    bits of 128 lanes; null without words."""
+    bits of 128 lanes; null without words. A fingerprint is a list of its blocks, five bytes each in a long."""
     schema = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in kept)
 
     def work(batches: Iterator) -> Iterator:
@@ -256,10 +251,14 @@ def fingerprinted(texts: DataFrame, *kept: str) -> DataFrame:
                 rows.append(prints.of(set(t.split(" "))) if t else None)
             blank = np.array([r is None for r in rows], bool)
             bits = np.packbits(np.array([none if r is None else r for r in rows], np.uint8).reshape(-1, LANES)[:, :128] & 1, axis=1).view(np.int64)
-            made = [pa.array(ids, pa.int64()), pa.array([None if r is None else r.tobytes() for r in rows], pa.binary()), *(pa.array(bits[:, k], mask=blank) for k in (0, 1))]
+            lanes = np.array([none if r is None else r for r in rows], np.uint8).reshape(-1, BLOCKS, LANES // BLOCKS)
+            blocks = (lanes.astype(np.int64) << np.arange(0, 8 * (LANES // BLOCKS), 8)).sum(axis=2)
+            offsets = np.arange(0, BLOCKS * (len(rows) + 1), BLOCKS, dtype=np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(blocks.ravel()), mask=pa.array(blank))
+            made = [pa.array(ids, pa.int64()), listed, *(pa.array(bits[:, k], mask=blank) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *made], [*kept, "c", "print", "s0", "s1"])
 
-    return texts.select("text", *kept).mapInArrow(work, f"{schema}, c long, print binary, s0 long, s1 long")
+    return texts.select("text", *kept).mapInArrow(work, f"{schema}, c long, print array<long>, s0 long, s1 long")
 
 
 def documents(analyses: DataFrame) -> DataFrame:
@@ -345,7 +344,7 @@ class HistoryStore:
     """
 
     TABLES = {
-        "documents": "doc_id string, sha string, c long, ts timestamp", "keys": "key long, o long, o0 long, o1 long", "classes": "c long, print binary, text string, doc_id string",
+        "documents": "doc_id string, sha string, c long, ts timestamp", "keys": "key long, o long, o0 long, o1 long", "classes": "c long, print array<long>, text string, doc_id string",
     }
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -412,8 +411,8 @@ class HistoryStore:
         met = written(met, "met")
         kept = self.stored("classes").join(self._few(met.select(F.col("o").alias("c")).distinct()), "c", "left_semi").select("c", "print", "text", "doc_id")
         kept = written(kept, "met-classes")
-        w = prints.select("c", words64().alias("wa"))
-        close = met.join(w, "c").join(kept.select(F.col("c").alias("o"), words64().alias("wb")), "o").where(differing("wa", "wb") <= MAX_BITS)
+        w = prints.select("c", F.col("print").alias("wa"))
+        close = met.join(w, "c").join(kept.select(F.col("c").alias("o"), F.col("print").alias("wb")), "o").where(differing("wa", "wb") <= MAX_BITS)
         pairs = close.join(classes.select("c", F.col("first.doc_id").alias("a")), "c").join(kept.select(F.col("c").alias("o"), F.concat(F.lit("stored "), "doc_id").alias("b")), "o").select("c", "o", "a", "b")
         pairs = written(pairs, "stored-candidates")
         both = texts.select("id", "text").unionByName(kept.select(F.concat(F.lit("stored "), "doc_id").alias("id"), "text"))
