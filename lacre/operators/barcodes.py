@@ -17,7 +17,9 @@ def code_kind(c: Column) -> Column:
 
 
 def is_payment_code(form: Column, content: Column) -> Column:
-    return code_format(form).contains("itf") & content.rlike("^8[0-9]{43}$")
+    """Interleaved codes whose content has 44 digits."""
+    f = F.regexp_replace(code_format(form), r"^.*\.", "")
+    return (f.isin("itf", "interleaved2of5", "i2of5") | f.startswith("itf")) & (F.length(F.regexp_replace(content, "[^0-9]", "")) == 44)
 
 
 def grouped(barcodes: DataFrame) -> DataFrame:

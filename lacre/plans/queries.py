@@ -564,7 +564,7 @@ def document_order(spark: SparkSession, base: str) -> DataFrame:
 
 
 from lacre.plans.oracles import ORACLES  # noqa: E402, F401
-from lacre.plans import adapters, concealment, encoded, engine, fingerprints, identifiers, indexing, money, prompts, register, rows, sheets, times  # noqa: E402, F401
+from lacre.plans import adapters, concealment, encoded, engine, fingerprints, identifiers, indexing, lines, money, prompts, register, rows, sheets, times  # noqa: E402, F401
 
 QUERIES.update(register.QUERIES)
 ORACLES.update(register.ORACLES)
