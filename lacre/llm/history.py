@@ -156,13 +156,16 @@ def _pairs_within(lists: DataFrame) -> DataFrame:
     return lists.select(F.inline(pairs))
 
 
-def candidates(prints: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(prints: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """prints(c, print, s0, s1) -> candidate pairs (a, b) of classes, and the members (key, n, c, first, bound) of
-    buckets above BUCKET; bound: the last arrival among the bucket's HEADS earliest, which all members are paired with."""
-    size = entries(prints).groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "n")
+    buckets above BUCKET (None without one); bound: the last arrival among the bucket's HEADS earliest, which all members are
+    paired with."""
+    size = entries(prints).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     size = written(size, "sizes")
     shared = written(entries(prints, "s0", "s1").join(F.broadcast(size) if size.count() <= BROADCAST_KEYS else size, "key"), "shared-keys")
     small = shared.where(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list(F.struct("c", "s0", "s1")).alias("cs"))
+    if size.where(F.col("n") > BUCKET).isEmpty():
+        return _pairs_within(small).distinct(), None
     big = written(shared.where(F.col("n") > BUCKET).select("key", "n", "c", "s0", "s1").distinct().join(classes.select("c", "first"), "c"), "large")
     order = Window.partitionBy("key").orderBy("first")
     heads = big.select("key", "first", F.col("c").alias("h"), F.col("s0").alias("h0"), F.col("s1").alias("h1")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= HEADS)
@@ -287,17 +290,17 @@ def links_within(prints: DataFrame, classes: DataFrame, texts: DataFrame) -> Dat
     """(c, other) in both directions of classes that repeat each other; classes(c, first), texts(id, text) by document."""
     pairs, big = candidates(prints, classes)
 
-    def linked(candidate: DataFrame) -> DataFrame:
+    def linked(candidate: DataFrame, far: bool = True) -> DataFrame:
         first = lambda side: classes.select(F.col("c").alias(side), F.col("first.doc_id").alias(f"{side}_doc"))
-        ids = near(candidate, prints).join(first("a"), "a").join(first("b"), "b")
+        ids = (near(candidate, prints) if far else candidate).join(first("a"), "a").join(first("b"), "b")
         ids = written(ids.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("a_doc").alias("a"), F.col("b_doc").alias("b")), "candidates")
         return both_ways(written(ids.join(verified(ids.select("a", "b"), texts), ["a", "b"]).select("ca", "cb"), "links"))
 
     links = linked(pairs)
-    if not big.isEmpty():
+    if big is not None:
         links = links.unionByName(linked(earlier(big, links, classes, prints)))
     more = written(beyond(links, classes), "beyond")
-    return links if more.isEmpty() else links.unionByName(linked(more))
+    return links if more.isEmpty() else links.unionByName(linked(more, far=False))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -310,7 +313,7 @@ def prepared(analyses: DataFrame, batch_documents: DataFrame) -> tuple[DataFrame
     docs = written(documents(analyses), "prints")
     one = docs.groupBy("doc_id").agg(F.min_by(F.struct("sha", "c"), "pos").alias("x")).select("doc_id", "x.sha", "x.c")
     light = written(one.join(arrivals(batch_documents), "doc_id").withColumn("me", F.struct("ts", "doc_id")), "arrived")
-    prints = docs.where("c is not null").select("c", "print", "s0", "s1").dropDuplicates(["c"])
+    prints = written(docs.where("c is not null").select("c", "print", "s0", "s1").dropDuplicates(["c"]), "class-prints")
     texts = analyses.select(F.lower(F.trim("doc_id")).alias("id"), text_of().alias("text"))
     return light, first_of(light), prints, texts
 
