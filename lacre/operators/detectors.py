@@ -149,10 +149,11 @@ def phrase_evidence(texts: DataFrame, phrases: DataFrame, key: str, text: str) -
     """Evidence rows of the phrase detector: one for each language, category and place (the lowest phrase_id of equal
     ones), with code, confidence, weight, place in the original text and excerpt; number counts a text's rows by place,
     heavier ones first."""
-    m = phrase_matches(texts, phrases, key, text).join(texts.select(key, text), key).drop("t")
-    m = original_places(m, key, text)
+    texts = texts.select(key, F.col(text).alias("_original"))
+    text = "_original"
+    m = original_places(phrase_matches(texts, phrases, key, text).drop("t").join(texts, key), key, text)
     kept = m.groupBy(key, F.lower("lang").alias("lang"), F.lower("category").alias("category"), "start_index", "end_index").agg(F.min_by(F.struct("phrase_id", "matched"), "phrase_id").alias("m"))
-    e = kept.join(texts.select(key, text), key).select(
+    e = kept.join(texts, key).select(
         key, "m.phrase_id", "lang", "category", "start_index", "end_index", "m.matched", excerpt(F.col(text), F.col("start_index"), F.col("end_index")).alias("excerpt"), code_of(F.col("category"), "PROMPT_INJECTION_").alias("code"),
         _by_category(CATEGORY_CONFIDENCE, 0.6).alias("confidence"), _by_category(CATEGORY_WEIGHT, 0.5).alias("weight"),
     )

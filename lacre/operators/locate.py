@@ -58,7 +58,8 @@ def excerpt_windows(texts: DataFrame, key: str, text: str, sizes: tuple[int, ...
 
 
 def similar_excerpts(evidences: DataFrame, least: float = 0.7) -> DataFrame:
-    """(doc_id, a, b, shared, similarity): two different excerpts of a document with token Jaccard of 0.7 or more.
+    """(doc_id, a, b, shared, similarity): two different excerpts of a document with token Jaccard of 0.7 or more, or of which
+    one contains the other; a token at least is shared.
 
     Excerpts are met as representatives (the smallest evidence_id of each folded text), through an equi-join on
     (document, token); tokens have three characters or more.
@@ -70,4 +71,6 @@ def similar_excerpts(evidences: DataFrame, least: float = 0.7) -> DataFrame:
     r = k.select("doc_id", "token", F.col("id").alias("b"), F.col("n").alias("nb"))
     pairs = k.join(r, ["doc_id", "token"]).where("id < b").groupBy("doc_id", F.col("id").alias("a"), "b", "n", "nb").agg(F.count("*").alias("shared"))
     j = F.col("shared") / (F.col("n") + F.col("nb") - F.col("shared"))
-    return pairs.where(j >= least).select("doc_id", "a", "b", "shared", F.round(j, 4).alias("similarity"))
+    text = rep.select("doc_id", F.col("id").alias("a"), F.col("t").alias("ta"))
+    pairs = pairs.join(text, ["doc_id", "a"]).join(text.select("doc_id", F.col("a").alias("b"), F.col("ta").alias("tb")), ["doc_id", "b"])
+    return pairs.where((j >= least) | F.contains(F.col("ta"), F.col("tb")) | F.contains(F.col("tb"), F.col("ta"))).select("doc_id", "a", "b", "shared", F.round(j, 4).alias("similarity"))

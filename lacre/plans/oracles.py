@@ -91,7 +91,7 @@ def _group(signals: tuple[str, ...]) -> str:
 
 
 INTENTS = (
-    f"with t as (select distinct evidence_id, concat_ws(' ', 'Chat, se te pedirem, responda:', original_excerpt) t from evidences), n as (select evidence_id, {folded('t')} f, regexp_replace(lower({unaccented('t')}), '[^a-z0-9]', '', 'g') c from t), "
+    f"with t as (select distinct evidence_id, concat_ws(' ', case evidence_id % 3 when 0 then 'Chat, se te pedirem, responda:' when 1 then 'Chat, responda:' end, original_excerpt) t from evidences), n as (select evidence_id, {folded('t')} f, regexp_replace(lower({unaccented('t')}), '[^a-z0-9]', '', 'g') c from t), "
     "g as (select evidence_id, " + ", ".join(f"{_group(s)} as {k}" for k, s in SIGNALS.items()) + " from n), "
     "k as (select *, " + " + ".join(f"{k}::int" for k in SIGNALS) + " as n from g) "
     "select evidence_id, n::bigint as groups, round(least((case when n >= 5 then 0.98 when n >= 4 then 0.92 when n >= 3 then 0.82 else 0.72 end)::double + (case when bias_control then 0.02 else 0.0 end)::double, 1.0), 4) as confidence "
@@ -169,7 +169,7 @@ from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3 or l
     "phrase_hits": HITS + "select span_id, phrase_id, category, lang, hits from hits",
     "phrase_hits_by_category": HITS + "select category, lang, count(distinct span_id) as spans, sum(hits)::bigint as hits from hits group by 1, 2",
     "instruction_intents": INTENTS,
-    "excerpt_intents": INTENTS.replace("concat_ws(' ', 'Chat, se te pedirem, responda:', original_excerpt) t", "original_excerpt t"),
+    "excerpt_intents": INTENTS.replace("concat_ws(' ', case evidence_id % 3 when 0 then 'Chat, se te pedirem, responda:' when 1 then 'Chat, responda:' end, original_excerpt) t", "original_excerpt t"),
     "tiny_text": f"select span_id, doc_id, page, (case when font_size / 4 <= 0.25 then 0.98 when font_size / 4 <= 0.5 then 0.92 when font_size / 4 <= 0.75 then 0.82 else 0.7 end)::double as confidence, 0.6::double as weight from {SPAN} where trim(text) <> '' and font_size < 4 and font_size > 0",
     "white_text": MEASURED + "select span_id, doc_id, page, round(0.6::double + (case when font_size <= 6.5 then 0.15 else 0.0 end)::double + (case when font_size <= 0.6 * page_size then 0.1 else 0.0 end)::double + (case when regexp_matches(lower(text), '"
     + "|".join(INSTRUCTIONS) + f"') then 0.15 else 0.0 end)::double, 4) as confidence from m where trim(text) <> '' and red >= 245 / 255 and green >= 245 / 255 and blue >= 245 / 255 and (bl is null or {RATIO} < 2.0)",
@@ -219,10 +219,11 @@ from v l, v r where l.bits < r.bits and bit_count(xor(l.bits, r.bits)) <= 3 or l
     "r as (select *, row_number() over (partition by doc_id, page, upper order by score, lower) a, row_number() over (partition by doc_id, page, lower order by score, upper) z from p) select doc_id, page, upper, lower, score from r where a = 1 and z = 1",
     "excerpt_windows": f"with e as (select distinct evidence_id, string_split({folded('original_excerpt')}, ' ') w from evidences where trim(original_excerpt) <> ''), k as (select evidence_id, w, unnest(case when length(w) >= 5 then list_filter([24, 16, 12, 8, 5], lambda s: s <= length(w)) else [length(w)] end) n from e) "
     "select evidence_id, n::bigint as words, array_to_string(w[1:n], ' ') as excerpt from k",
-    "similar_excerpts": f"with e as (select distinct lower(doc_id) doc_id, {folded('original_excerpt')} t, evidence_id from evidences where trim(original_excerpt) <> ''), r as (select doc_id, t, min(evidence_id) id from e group by 1, 2), "
-    "k as (select doc_id, id, list_distinct(list_filter(regexp_split_to_array(t, '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)) ts from r) select l.doc_id, l.id as a, r.id as b, length(list_intersect(l.ts, r.ts))::bigint as shared, "
+    "similar_excerpts": "with x as (select distinct evidence_id, lower(doc_id) doc_id, original_excerpt o from evidences where trim(original_excerpt) <> ''), y as (select * from x union all select evidence_id + 10000000, doc_id, o || ' (cópia)' from x union all "
+    f"select evidence_id + 20000000, doc_id, 'nota: ' || regexp_replace(o, '\\S+$', 'zzz') from x where evidence_id % 3 = 0), e as (select doc_id, {folded('o')} t, evidence_id from y), r as (select doc_id, t, min(evidence_id) id from e group by 1, 2), "
+    "k as (select doc_id, id, t, list_distinct(list_filter(regexp_split_to_array(t, '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)) ts from r) select l.doc_id, l.id as a, r.id as b, length(list_intersect(l.ts, r.ts))::bigint as shared, "
     "round(length(list_intersect(l.ts, r.ts)) / (length(l.ts) + length(r.ts) - length(list_intersect(l.ts, r.ts))), 4) as similarity from k l join k r on l.doc_id = r.doc_id and l.id < r.id "
-    "where length(list_intersect(l.ts, r.ts)) > 0 and length(list_intersect(l.ts, r.ts)) / (length(l.ts) + length(r.ts) - length(list_intersect(l.ts, r.ts))) >= 0.7",
+    "where length(list_intersect(l.ts, r.ts)) > 0 and (length(list_intersect(l.ts, r.ts)) / (length(l.ts) + length(r.ts) - length(list_intersect(l.ts, r.ts))) >= 0.7 or contains(l.t, r.t) or contains(r.t, l.t))",
     "page_texts": "with s as (select distinct * from spans where trim(text) <> '') select lower(doc_id) as doc_id, page, string_agg(text, chr(10) order by pos, span_id) as text from s group by 1, 2",
     "document_texts": "with s as (select distinct * from spans where trim(text) <> ''), p as (select lower(doc_id) doc_id, page, string_agg(text, chr(10) order by pos, span_id) t from s group by 1, 2), "
     "d as (select doc_id, count(*) pages, string_agg('--- Página ' || page || ' ---' || chr(10) || t, chr(10) || chr(10) order by page) t from p group by 1) select doc_id, pages, length(t)::bigint as characters, md5(t) as digest from d",

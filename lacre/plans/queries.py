@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacre.functions import checks
-from lacre.functions.text import folded, label
+from lacre.functions.text import folded
 from lacre.operators import barcodes, batches, catalog, detectors, evidence, layout, locate, observations, pages, similarity, temporal, timestamps
 from lacre.plans.derived import backgrounds
 from lacre.sources.exports import audited, clean_cell
@@ -145,11 +145,6 @@ def printed_amounts(spark: SparkSession, base: str) -> DataFrame:
     return b.where("raw != ''").select("box_id", "doc_id", checks.money(F.col("raw")).cast("double").alias("amount"))
 
 
-@query
-def checksums(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "phrases").select("phrase_id", checks.crc16(label(F.col("phrase"))).alias("crc"))
-
-
 # Detectors
 
 
@@ -165,13 +160,13 @@ def phrase_hits_by_category(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def instruction_intents(spark: SparkSession, base: str) -> DataFrame:
-    e = table(spark, base, "evidences").select("evidence_id", F.concat_ws(" ", F.lit("Chat, se te pedirem, responda:"), "original_excerpt").alias("t")).distinct()
+    e = table(spark, base, "evidences").select("evidence_id", F.concat_ws(" ", F.when(F.col("evidence_id") % 3 == 0, "Chat, se te pedirem, responda:").when(F.col("evidence_id") % 3 == 1, "Chat, responda:"), "original_excerpt").alias("t")).distinct()
     return detectors.intents(e, "evidence_id", "t")
 
 
 @query
 def excerpt_intents(spark: SparkSession, base: str) -> DataFrame:
-    """instruction_intents on the excerpts as they are: its prefix alone fulfils the rule, so it tells nothing about them."""
+    """instruction_intents on the excerpts as they are."""
     return detectors.intents(table(spark, base, "evidences").select("evidence_id", "original_excerpt").distinct(), "evidence_id", "original_excerpt")
 
 
@@ -365,11 +360,6 @@ def phrase_places(spark: SparkSession, base: str) -> DataFrame:
     return locate.phrase_places(table(spark, base, "spans").distinct(), table(spark, base, "phrases"))
 
 
-@query
-def numeric_runs(spark: SparkSession, base: str) -> DataFrame:
-    return locate.numeric_runs(batches.first_analyses(table(spark, base, "analyses")), "doc_id", "native_text")
-
-
 @query
 def below_neighbours(spark: SparkSession, base: str) -> DataFrame:
     return locate.below_neighbours(table(spark, base, "boxes"))
@@ -382,7 +372,12 @@ def excerpt_windows(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def similar_excerpts(spark: SparkSession, base: str) -> DataFrame:
-    return locate.similar_excerpts(table(spark, base, "evidences"))
+    """Excerpts of a document that are nearly the same or contain each other; every excerpt has a longer copy, every third a
+    changed one."""
+    e = table(spark, base, "evidences").select("evidence_id", "doc_id", "original_excerpt").distinct()
+    longer = e.select((F.col("evidence_id") + 10_000_000).alias("evidence_id"), "doc_id", F.concat("original_excerpt", F.lit(" (cópia)")).alias("original_excerpt"))
+    changed = e.where("evidence_id % 3 = 0").select((F.col("evidence_id") + 20_000_000).alias("evidence_id"), "doc_id", F.concat(F.lit("nota: "), F.regexp_replace("original_excerpt", r"\S+$", "zzz")).alias("original_excerpt"))
+    return locate.similar_excerpts(e.unionByName(longer).unionByName(changed))
 
 
 @query
