@@ -91,7 +91,7 @@ def test_colours_and_boxes(spark):
 def test_folding(spark):
     assert one(spark, text.folded, "  AÇÃO  \n Ünïcode ") == "acao unicode"
     assert one(spark, text.compact, "Nã o!") == "nao"
-    assert one(spark, text.label, "Nº  da Conta:") == "n da conta"
+    assert one(spark, text.label, "Nº  da Conta:") == "no da conta"
     assert one(spark, text.folded, None) is None
 
 
