@@ -315,16 +315,16 @@ def prepared(analyses: DataFrame, batch_documents: DataFrame) -> tuple[DataFrame
     light = written(one.join(arrivals(batch_documents), "doc_id").withColumn("me", F.struct("ts", "doc_id")), "arrived")
     prints = written(docs.where("c is not null").select("c", "print", "s0", "s1").dropDuplicates(["c"]), "class-prints")
     texts = analyses.select(F.lower(F.trim("doc_id")).alias("id"), text_of().alias("text"))
-    return light, first_of(light), prints, texts
+    return light, written(first_of(light), "first"), prints, texts
 
 
 def first_of(light: DataFrame) -> DataFrame:
     return light.where("c is not null").groupBy("c").agg(F.min("me").alias("first"))
 
 
-def resolved(light: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b): every document of light with the earliest one that it repeats by links or digest."""
-    classes = first_of(light)
+def resolved(light: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, doc_id_a, doc_id_b): every document of light, whose classes are given, with the earliest one that it repeats by
+    links or digest."""
     by_text = classes.join(nearest(links, classes), "c", "left").select("c", F.least("first", F.coalesce("near", "first")).alias("by_text"))
     by_sha = light.where("sha is not null").groupBy("sha").agg(F.min("me").alias("by_sha"), F.count("*").alias("n")).where("n > 1").drop("n")
     d = light.join(by_text, "c", "left").join(by_sha, "sha", "left")
@@ -335,7 +335,7 @@ def resolved(light: DataFrame, links: DataFrame) -> DataFrame:
 def found(analyses: DataFrame, batch_documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b): every document with the earliest arrived one that it repeats, the smaller id first."""
     light, classes, prints, texts = prepared(analyses, batch_documents)
-    return resolved(light, links_within(prints, classes, texts)).select("doc_id_a", "doc_id_b").distinct()
+    return resolved(light, classes, links_within(prints, classes, texts)).select("doc_id_a", "doc_id_b").distinct()
 
 
 class HistoryStore:
@@ -380,7 +380,7 @@ class HistoryStore:
         by_sha = old.join(self._few(light.where("sha is not null").select("sha").distinct()), "sha", "left_semi")
         known = by_class.unionByName(by_sha).distinct().withColumn("me", F.struct("ts", "doc_id")).join(self._few(light.select("doc_id")), "doc_id", "left_anti")
         every = written(light.select("doc_id", "sha", "c", "ts", "me").unionByName(known.select("doc_id", "sha", "c", "ts", "me")), "batch-and-partners")
-        return resolved(every, links).join(light.select("doc_id"), "doc_id", "left_semi").distinct()
+        return resolved(every, first_of(every), links).join(light.select("doc_id"), "doc_id", "left_semi").distinct()
 
     def append(self, light: DataFrame, prints: DataFrame, texts: DataFrame) -> None:
         """Accepts a batch: its documents, and the classes that aren't stored yet."""
