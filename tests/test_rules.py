@@ -328,3 +328,17 @@ def test_boxes_that_are_none(spark):
 def test_pdf_days(spark, t, day):
     r = spark.createDataFrame([(t,)], "t string").select(temporal.pdf_day(F.col("t")).cast("string").alias("x")).head()
     assert r.x == day
+
+
+def test_lines_and_boxes_of_a_document_in_one_pass(spark):
+    d, long = "846700000017100000000016700000000160000000000168", "1" + "85" * 24
+    l = spark.createDataFrame([("a", 1, d), ("a", 2, long), ("b", 1, d), ("c", 1, d), ("d", 1, "12345"), ("e", 1, d), ("f", 1, "12" * 24)], "doc_id string, line_index long, digits string")
+    cut = lambda doc, n, page, top, t: [(doc, n + i, page, t[12 * i : 12 * i + 12], 80.0 + i, 100 + 150 * i, top + i % 2, 140, 20) for i in range(5) if t[12 * i : 12 * i + 12]]
+    boxes = cut("A", 1, 1, 200, d) + [("A", 9, 1, "Linha", None, 10, 190, 60, 20)] + cut("A", 20, 2, 50, long[1:]) + cut("b", 30, 1, 200, d) + cut("b", 40, 1, 600, d) + cut("e", 50, 1, 10, d) + [("e", 60, 1, None, 5.0, 700, 12, 9, 9), ("e", 61, 1, "7", 5.0, None, 12, 9, 9)] + cut("f", 70, 3, 5, "12" * 25)
+    b = spark.createDataFrame(boxes, "doc_id string, box_id long, page int, text string, confidence double, box_left int, box_top int, box_width int, box_height int")
+    got = lines.located_together(lines.gathered(l, b))
+    assert sorted(map(str, got.collect())) == sorted(map(str, lines.located(l, b, rows.grouped(b, "mean")).select(*got.columns).collect()))
+    assert {(r.doc_id, r.line_index) for r in got.where("located").collect()} >= {("a", 1), ("e", 1)}
+    twice = lines.located_together(lines.gathered(l, b.union(b)))
+    assert sorted(map(str, twice.collect())) == sorted(map(str, got.collect()))
+    assert lines.located_together(lines.gathered(l.where("false"), b)).count() == 0
