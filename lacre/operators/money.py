@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacre.functions.checks import collection_amount, crc16, modulo_10, modulo_11, money, tlv
+from lacre.functions.checks import collection_amount, modulo_10, modulo_11, money, payload_parts
 from lacre.functions.once import step
 from lacre.operators.barcodes import code_format
 
@@ -32,19 +32,15 @@ def with_payload(df: DataFrame, payload: str) -> DataFrame:
     51), currency 986, country BR, a right check sum in the last field, an amount in field 54. Texts of another kind have
     neither. Each part is computed once; only texts that begin like a payload are taken apart."""
     c = F.col(payload)
-    df = step(df, _f=F.when(c.startswith("0002"), tlv(c)))
-    merchant = F.filter(F.map_entries("_f"), lambda e: e["key"].between("26", "51"))
-    named = F.exists(F.transform(merchant, lambda e: F.lower(F.try_element_at(tlv(e["value"]), F.lit("00")))), lambda n: F.coalesce(n == "br.gov.bcb.pix", F.lit(False)))
-    get = lambda k: F.coalesce(F.try_element_at("_f", F.lit(k)), F.lit(""))
-    df = step(df, _ours=F.coalesce((get("00") == "01") & named, F.lit(False)), _country=F.concat(get("53"), get("58")), _stated=get("54"))
+    df = step(df, _p=payload_parts(F.when(c.startswith("0002"), c)))
+    df = step(df, _ours=F.coalesce("_p.ours", F.lit(False)), _country=F.col("_p.place"), _stated=F.col("_p.stated"), _sum=F.col("_p.sum"))
     n = F.length(c)
-    df = step(df, _sum=F.when(F.col("_ours") & (F.substr(c, n - 7, F.lit(4)) == "6304"), crc16(F.substr(c, F.lit(1), n - 4))))
     reason = (
         F.when(F.col("_country") != "986BR", "CURRENCY_OR_COUNTRY").when(F.col("_sum").isNull(), "NO_CHECK_SUM").when(F.upper(F.substr(c, n - 3, F.lit(4))) != F.col("_sum"), "CHECK_SUM")
         .when(F.col("_stated") == "", "NO_AMOUNT").when(~F.col("_stated").rlike(r"^[0-9]{1,10}(?:\.[0-9]{1,2})?$"), "AMOUNT")
     )
     df = step(df, pix_reason=F.when(F.col("_ours"), reason))
-    return df.withColumn("pix_amount", F.when(F.col("_ours") & F.col("pix_reason").isNull(), F.col("_stated").try_cast("decimal(18,2)"))).drop("_f", "_ours", "_country", "_stated", "_sum")
+    return df.withColumn("pix_amount", F.when(F.col("_ours") & F.col("pix_reason").isNull(), F.col("_stated").try_cast("decimal(18,2)"))).drop("_p", "_ours", "_country", "_stated", "_sum")
 
 
 def collection_reason(c: Column) -> Column:

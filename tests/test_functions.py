@@ -184,3 +184,17 @@ def test_batch_states(spark, tmp_path):
     spark.createDataFrame(late, "batch_id string, doc_id string, status string, s long").selectExpr("batch_id", "doc_id", "status", "timestamp_seconds(s) as event_ts").write.mode("append").parquet(f"{tmp_path}/in")
     events.append_stream(events.state_changes(stream), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
     assert {tuple(r) for r in events.batch_counts(spark.read.parquet(f"{tmp_path}/out")).collect()} == {("b", 2, 0, 0, 2, 0), ("c", 1, 1, 0, 0, 0)}
+
+
+def test_check_digits_and_payloads_in_batches(spark):
+    from lacre.operators import money
+
+    df = spark.createDataFrame([("12345678901",), ("",), (None,), ("12a",), ("é1",), ("0",)], "x string")
+    assert [tuple(r) for r in df.select(checks.modulo_10(F.col("x")), checks.modulo_11(F.col("x"))).collect()] == [(5, 0), (None, None), (None, None), (None, None), (None, None), (0, 0)]
+    n = spark.createDataFrame([(12345678901,), (0,), (99999999999,), (84600000017,)], "n long")
+    assert all(a == b for a, b in n.select(checks.modulo_10_of(F.col("n"), 11), checks.modulo_10(F.lpad(F.col("n").cast("string"), 11, "0"))).collect())
+    good = "00020101021126580014br.gov.bcb.pix0136123e4567-e12b-12d1-a456-426655440000520400005303986540525.315802BR5905TESTE6009SAO PAULO62100506DOC1236304ECF2"
+    rows = [good, good[:-1] + "3", good.replace("5802BR", "5802AR"), "0002x", "text", None]
+    got = money.with_payload(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string"), "x").orderBy("i").collect()
+    assert [(None if r.pix_amount is None else str(r.pix_amount), r.pix_reason) for r in got] == [("25.31", None), (None, "CHECK_SUM"), (None, "CURRENCY_OR_COUNTRY"), *[(None, None)] * 3]
+    assert "aggregate(" not in spark.createDataFrame([(good,)], "x string").select(checks.crc16(F.col("x")))._jdf.queryExecution().toString()
