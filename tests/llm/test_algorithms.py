@@ -257,3 +257,15 @@ def test_links_elsewhere_excuse_no_member_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(history, "BLOCK", 3, raising=False)
     a, *others = ids[10:]
     assert {tuple(r) for r in history.found(analyses, batches).collect()} == {(min(a, x), max(a, x)) for x in others}
+
+
+def test_words_are_permuted_by_a_network_too():
+    from lacre.llm import pii
+
+    p = pii.Pseudonyms(b"k")
+    for v in ("maria da silva", "x", "ana@example.com", "rua " + "das flores " * 40 + "12", "мария"):
+        for kind in ("NAME", "EMAIL", "ADDRESS"):
+            new = bytes.fromhex(p.tag(v, kind))
+            assert p.words(new, kind, back=True).decode() == v and new != v.encode()
+    assert p.tag("María  da Silva", "NAME") == p.tag("maria da silva", "NAME") != p.tag("maria da silva", "ADDRESS")
+    assert len({p.words(bytes([i, j]), "NAME") for i in range(32) for j in range(256)}) == 32 * 256
