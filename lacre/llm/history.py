@@ -2,11 +2,12 @@
 
 Exact repeats are found by digest and by the hash of the folded text; everything after that works on classes of equal
 folded text. A class gets a fingerprint of 160 bytes, each the low byte of a min-hash of its words, so the share of
-differing bits estimates how many words two texts don't share. The fingerprint has 32 blocks; a table keys the texts by
-two blocks of a rotation of it (32 rotations at distances 1 and 2: 64 tables). Texts that meet in a table are candidates
-if a sketch of their fingerprints (128 bits, one a lane) differs little; then the Hamming distance of the fingerprints
-and last the words themselves are compared: at least three quarters of the longer text's words stand in the other in the
-same order.
+differing bits estimates how many words two texts don't share. Each of 64 tables keys the texts by 8 of these bytes and by
+the order in which their words stand in the text: texts of one template share many words, but in another order, and don't
+meet. Only words that a text has once count for the order, since a repeated word's first place changes easily. Texts that
+meet in a table are candidates if a sketch of their fingerprints (128 bits, one a lane) differs little; then the Hamming
+distance of the fingerprints and last the words themselves are compared: at least three quarters of the longer text's words
+stand in the other in the same order.
 
 A bucket above BUCKET members is not expanded into pairs at first: its members meet its HEADS earliest ones. Then each
 member meets all others of the bucket that arrived before the earliest class it is known to repeat (before itself where
@@ -38,8 +39,9 @@ from pyspark.sql import functions as F
 
 from lacre.sources.tables import written
 
-LANES, BLOCKS, DISTANCES = 160, 32, (1, 2)
-TABLES = BLOCKS * len(DISTANCES)
+LANES, BLOCKS = 160, 32
+#: Tables and the lanes of each one's key.
+TABLES, KEYED = 64, 8
 #: Differing bits up to which pairs stay candidates: of 128 sketch bits (a half of them differ for every word not shared)
 #: and of 1,280 fingerprint bits (texts that share 0.6 of their words differ in about 256).
 MAX_SKETCH, MAX_BITS = 40, 330
@@ -98,13 +100,14 @@ def repeats(a: list[str], b: list[str], similarity: float = SIMILARITY) -> bool:
     same = head + tail  # a common head and tail belong to some longest common subsequence
     if same >= need:
         return True
-    if len(a) > 1000 and same + sum((Counter(a) & Counter(b)).values()) < need:
+    if same + sum((Counter(a) & Counter(b)).values()) < need:  # words in common in any order
         return False
     return same + lcs_length(a, b) >= need
 
 
 class Fingerprints:
-    """Min-hash bytes of word sets; the lanes of known words are kept in a matrix of bounded size."""
+    """Min-hash bytes of texts' words and the places of these words; the lanes of known words are kept in a matrix of bounded
+    size."""
 
     def __init__(self, limit: int = 60_000) -> None:
         import numpy as np
@@ -115,11 +118,15 @@ class Fingerprints:
         self.lanes = np.empty((1024, LANES), np.uint32)
         self.row: dict[str, int] = {}
         self.limit = limit
+        shuffled = [draw.permutation(LANES) for _ in range(-(-TABLES * KEYED // LANES))]
+        self.tables = np.concatenate(shuffled)[: TABLES * KEYED].reshape(TABLES, KEYED)
 
-    def of(self, words: set[str]):  # noqa: ANN201
+    def of(self, text: str):  # noqa: ANN201
+        """(bytes, places) of the lanes of a folded text; a word that it has more than once has the place -1."""
         import numpy as np
         import xxhash
 
+        words = Counter(text.split(" "))  # in the order of their first places
         if len(self.row) + len(words) > self.limit:
             self.row.clear()
         new = [w for w in words if w not in self.row]
@@ -130,16 +137,34 @@ class Fingerprints:
                 self.lanes = np.concatenate([self.lanes, np.empty_like(self.lanes)])
             self.lanes[first : first + len(new)] = ((h * self.mul + self.add) >> np.uint64(32)).astype(np.uint32)
             self.row.update(zip(new, range(first, first + len(new)), strict=True))
-        least = self.lanes[[self.row[w] for w in words]].min(axis=0)
-        return (least & np.uint32(0xFF)).astype(np.uint8)
+        lanes = np.ascontiguousarray(self.lanes[[self.row[w] for w in words]].T)
+        least = lanes.argmin(axis=1)
+        once = np.fromiter(words.values(), np.int64, len(words)) == 1
+        return (lanes[np.arange(LANES), least] & np.uint32(0xFF)).astype(np.uint8), np.where(once[least], least, -1).astype(np.int32)
+
+    def keys(self, lanes, places):  # noqa: ANN001, ANN201
+        """(n, LANES) bytes and places -> (n, TABLES) keys: the bytes of each table's lanes and which of two words comes later."""
+        import numpy as np
+
+        out = np.empty((len(lanes), TABLES), np.int32)
+        for i in range(0, len(lanes), 500):
+            bytes_of, later = np.ascontiguousarray(lanes[i : i + 500][:, self.tables]), places[i : i + 500].T[self.tables.T]
+            earlier = np.where(later < 0, np.iinfo(np.int32).max, later)
+            order = np.zeros((TABLES, len(bytes_of)), np.uint64)
+            for x in range(KEYED):
+                for y in range(x):
+                    order = order << np.uint64(1) | (later[x] > earlier[y])
+            h = bytes_of.view(np.uint64)[:, :, 0] * np.uint64(0x9E3779B97F4A7C15)
+            h = ((h ^ h >> np.uint64(29)) + order.T) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ h >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+            out[i : i + 500] = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return out
 
 
 def entries(classes: DataFrame, *kept: str) -> DataFrame:
-    """(c, print, kept ...) -> (key, c, kept ...): the places of each class in the rotated tables; two blocks of a rotation
-    are the key."""
-    block = lambda i: F.col("print")[i % BLOCKS]
-    keys = [F.xxhash64(F.lit(100 * d + i), block(i), block(i + d)) for d in DISTANCES for i in range(BLOCKS)]
-    return classes.where("print is not null").select("c", *kept, F.explode(F.array(*keys)).alias("key")).select("key", "c", *kept)
+    """(c, keys, kept ...) -> (key, c, kept ...): the places of each class in the tables; a key begins with its table's number."""
+    placed = classes.where("keys is not null").select("c", *kept, F.posexplode("keys").alias("t", "k"))
+    return placed.select((F.shiftleft(F.col("t").cast("long"), 32) + F.col("k")).alias("key"), "c", *kept)
 
 
 def sketched(a0: str, a1: str, b0: str, b1: str) -> Column:
@@ -157,7 +182,7 @@ def _pairs_within(lists: DataFrame) -> DataFrame:
 
 
 def candidates(prints: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """prints(c, print, s0, s1) -> candidate pairs (a, b) of classes, and the members (key, n, c, first, bound) of
+    """prints(c, keys, s0, s1) -> candidate pairs (a, b) of classes, and the members (key, n, c, first, bound) of
     buckets above BUCKET (None without one); bound: the last arrival among the bucket's HEADS earliest, which all members are
     paired with."""
     size = entries(prints).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -236,8 +261,9 @@ def text_of() -> Column:
 
 
 def fingerprinted(texts: DataFrame, *kept: str) -> DataFrame:
-    """(text, kept ...) -> (kept ..., c, print, s0, s1): the 64-bit hash of the folded text, its fingerprint and the lowest
-    bits of 128 lanes; null without words. A fingerprint is a list of its blocks, five bytes each in a long."""
+    """(text, kept ...) -> (kept ..., c, print, keys, s0, s1): the 64-bit hash of the folded text, its fingerprint, its keys in
+    the tables and the lowest bits of 128 lanes; null without words. A fingerprint is a list of its blocks, five bytes each
+    in a long."""
     schema = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in kept)
 
     def work(batches: Iterator) -> Iterator:
@@ -246,26 +272,29 @@ def fingerprinted(texts: DataFrame, *kept: str) -> DataFrame:
         import xxhash
 
         prints = Fingerprints()
-        none = np.zeros(LANES, np.uint8)
         for batch in batches:
-            ids, rows = [], []
-            for t in map(fold, batch.column("text").to_pylist()):
-                ids.append(xxhash.xxh64_intdigest(t.encode()) - (1 << 63) if t else None)
-                rows.append(prints.of(set(t.split(" "))) if t else None)
-            blank = np.array([r is None for r in rows], bool)
-            bits = np.packbits(np.array([none if r is None else r for r in rows], np.uint8).reshape(-1, LANES)[:, :128] & 1, axis=1).view(np.int64)
-            lanes = np.array([none if r is None else r for r in rows], np.uint8).reshape(-1, BLOCKS, LANES // BLOCKS)
-            blocks = (lanes.astype(np.int64) << np.arange(0, 8 * (LANES // BLOCKS), 8)).sum(axis=2)
-            offsets = np.arange(0, BLOCKS * (len(rows) + 1), BLOCKS, dtype=np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(blocks.ravel()), mask=pa.array(blank))
-            made = [pa.array(ids, pa.int64()), listed, *(pa.array(bits[:, k], mask=blank) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *made], [*kept, "c", "print", "s0", "s1"])
-
-    return texts.select("text", *kept).mapInArrow(work, f"{schema}, c long, print array<long>, s0 long, s1 long")
+            n = batch.num_rows
+            ids: list[int | None] = [None] * n
+            lanes, places = np.zeros((n, LANES), np.uint8), np.full((n, LANES), -1, np.int32)
+            for i, t in enumerate(map(fold, batch.column("text").to_pylist())):
+                if t:
+                    ids[i] = xxhash.xxh64_intdigest(t.encode()) - (1 << 63)
+                    lanes[i], places[i] = prints.of(t)
+            blank = np.array([i is None for i in ids], bool)
+            bits = np.packbits(lanes[:, :128] & 1, axis=1).view(np.int64)
+            blocks = (lanes.reshape(-1, BLOCKS, LANES // BLOCKS).astype(np.int64) << np.arange(0, 8 * (LANES // BLOCKS), 8)).sum(axis=2)
+            made = [pa.array(ids, pa.int64())]
+            for values in (blocks, prints.keys(lanes, places)):
+                offsets = np.arange(n + 1, dtype=np.int32) * values.shape[1]
+                made.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()), mask=pa.array(blank)))
+            made += [pa.array(bits[:, k], mask=blank) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *made], [*kept, "c", "print", "keys", "s0", "s1"])
+
+    return texts.select("text", *kept).mapInArrow(work, f"{schema}, c long, print array<long>, keys array<int>, s0 long, s1 long")
 
 
 def documents(analyses: DataFrame) -> DataFrame:
-    """(doc_id, sha, pos, c, print, s0, s1): one notation for ids and digests; texts are read and folded once."""
+    """(doc_id, sha, pos, c, print, keys, s0, s1): one notation for ids and digests; texts are read and folded once."""
     sha = F.regexp_extract(F.lower("sha256"), "([0-9a-f]{64})", 1)
     a = analyses.where("doc_id is not null").select(F.lower(F.trim("doc_id")).alias("doc_id"), F.when((sha != "") & (F.col("size_bytes") > 0), sha).alias("sha"), "pos", text_of().alias("text"))
     return fingerprinted(a, "doc_id", "sha", "pos")
@@ -309,11 +338,11 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def prepared(analyses: DataFrame, batch_documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """light (doc_id, sha, c, ts, me) of arrived documents, their classes (c, first), prints (c, print, s0, s1), and texts."""
+    """light (doc_id, sha, c, ts, me) of arrived documents, their classes (c, first), prints (c, print, keys, s0, s1), and texts."""
     docs = written(documents(analyses), "prints")
     one = docs.groupBy("doc_id").agg(F.min_by(F.struct("sha", "c"), "pos").alias("x")).select("doc_id", "x.sha", "x.c")
     light = written(one.join(arrivals(batch_documents), "doc_id").withColumn("me", F.struct("ts", "doc_id")), "arrived")
-    prints = written(docs.where("c is not null").select("c", "print", "s0", "s1").dropDuplicates(["c"]), "class-prints")
+    prints = written(docs.where("c is not null").select("c", "print", "keys", "s0", "s1").dropDuplicates(["c"]), "class-prints")
     texts = analyses.select(F.lower(F.trim("doc_id")).alias("id"), text_of().alias("text"))
     return light, written(first_of(light), "first"), prints, texts
 
@@ -388,12 +417,12 @@ class HistoryStore:
 
         name = f"{len(self.batches()):08d}-{uuid.uuid4().hex}"
         classes = first_of(light)
-        new = prints.join(classes, "c").select("c", "print", "s0", "s1", F.col("first.doc_id").alias("doc_id")).join(self.stored("documents").select("c").distinct(), "c", "left_anti")
+        new = prints.join(classes, "c").select("c", "print", "keys", "s0", "s1", F.col("first.doc_id").alias("doc_id")).join(self.stored("documents").select("c").distinct(), "c", "left_anti")
         t = texts.groupBy(F.col("id").alias("doc_id")).agg(F.min("text").alias("text"))
         new = written(new.join(t, "doc_id"), "new-classes")
         light.select("doc_id", "sha", "c", "ts").write.parquet(f"{self.folder}/documents/{name}")
         new.select("c", "print", "text", "doc_id").write.parquet(f"{self.folder}/classes/{name}")
-        keys = entries(new.select("c", "print", "s0", "s1"), "s0", "s1")
+        keys = entries(new, "s0", "s1")
         keys.select("key", F.col("c").alias("o"), F.col("s0").alias("o0"), F.col("s1").alias("o1")).write.parquet(f"{self.folder}/keys/{name}")
         self._files.mkdirs(self._path(f"{self.folder}/finished/{name}"))
 
